@@ -1,0 +1,49 @@
+"""Texts as sequences of chunks that a byte-level BPE tokenizer treats one by one, and a bounded cache of their ids.
+
+The pre-tokenizer's pattern starts a new piece before every blank that stands alone between other characters, and takes
+such a line feed as a piece of its own. So a text without two white-space characters in a row can be cut there with
+string methods, and a chunk (a blank and what follows) has the same ids in every text. Other texts are cut by the
+pattern itself.
+"""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Callable
+
+import numpy as np
+
+_ADJACENT = re.compile(r"\s\s|\0")
+
+
+def cut(text: str, pieces: Callable[[str], list[str]]) -> list[str]:
+    if not text:
+        return []
+    if _ADJACENT.search(text):
+        return pieces(text)
+    return [x for x in text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0") if x]
+
+
+class ChunkIds:
+    """Ids of texts (little-endian unsigned 32-bit), with a cache of at most `limit` chunks of at most `longest` characters."""
+
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], pieces: Callable[[str], list[str]], limit: int = 400_000, longest: int = 40):
+        self.encode, self.pieces, self.limit, self.longest = encode, pieces, limit, longest
+        self.known: dict[str, bytes] = {}
+
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        parts = [cut(x, self.pieces) for x in texts]
+        known = self.known
+        new = {c for p in parts for c in p if c not in known}
+        if len(known) + len(new) > self.limit:
+            known = self.known = {}
+            new = {c for p in parts for c in p}
+        if new:
+            order = list(new)
+            ids = dict(zip(order, self.encode(order), strict=True))
+            known.update(ids)
+        out = [np.frombuffer(b"".join(map(known.__getitem__, p)), "<u4") for p in parts]
+        for c in new:
+            if len(c) > self.longest:
+                del known[c]
+        return out
