@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, substring_dedup, token_files
+from . import byte_bpe, chat, decontaminate, near_dedup, substring_dedup, token_files
 from .common import own_folder, shared_folder, table
 
 
@@ -23,21 +23,34 @@ def pattern() -> str:
     return public_tokenizers.PATTERN
 
 
+def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup.remove_repeated_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "passages.n_words", "passages.n_removed", F.sha2("passages.kept", 256).alias("kept_sha256"))
 
 
+def op5_chat_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.collapse_conversations(table(spark, sf_dir, "conversations"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = byte_bpe.encode_and_decode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary("byte_bpe_multi_50k.tiktoken"), pattern())
     ids = F.col("bpe.ids")
     return out.select("doc_id", F.size(ids).cast("long").alias("n_tokens"), F.sha2(F.array_join(ids.cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("bpe.decoded", 256).alias("decoded_sha256"))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontaminate.benchmark_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     shared_folder(spark)
     files = token_files.write_tokens(table(spark, sf_dir, "documents"), own_folder(spark, "tokens"), vocabulary("byte_bpe_50k.json"), 2)
     return token_files.read_tokens(files).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_substring_dedup, op8_byte_bpe, op10_token_files)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash_near_dedup, op3_substring_dedup, op5_chat_collapse, op8_byte_bpe, op9_decontamination, op10_token_files)}
