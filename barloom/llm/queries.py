@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat, decontaminate, near_dedup, substring_dedup, token_files
+from . import byte_bpe, chat, decontaminate, licences, near_dedup, quality, substring_dedup, token_files
 from .common import own_folder, shared_folder, table
 
 
@@ -27,6 +27,16 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def trusted_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that `labels` calls good."""
+    return table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0").select("doc_id")
+
+
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality.quality_scores(table(spark, sf_dir, "documents").select("doc_id", "text"), trusted_ids(spark, sf_dir))
+    return out.select("doc_id", *(f"quality.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr")))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup.remove_repeated_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "passages.n_words", "passages.n_removed", F.sha2("passages.kept", 256).alias("kept_sha256"))
@@ -36,6 +46,10 @@ def op5_chat_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.collapse_conversations(table(spark, sf_dir, "conversations"))
 
 
+def op7_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.licence_labels(table(spark, sf_dir, "documents")).drop("places")
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = byte_bpe.encode_and_decode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary("byte_bpe_multi_50k.tiktoken"), pattern())
     ids = F.col("bpe.ids")
@@ -53,4 +67,4 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_tokens(files).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash_near_dedup, op3_substring_dedup, op5_chat_collapse, op8_byte_bpe, op9_decontamination, op10_token_files)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash_near_dedup, op2_quality_rules, op3_substring_dedup, op5_chat_collapse, op7_licence_scan, op8_byte_bpe, op9_decontamination, op10_token_files)}
