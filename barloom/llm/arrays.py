@@ -7,7 +7,7 @@ words by one subtraction and one multiplication.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +18,7 @@ BLOCK = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
 
 
-def _table(*ranges: tuple[int, int]) -> np.ndarray:
+def table_of(*ranges: tuple[int, int]) -> np.ndarray:
     out = np.zeros(256, bool)
     for a, b in ranges:
         out[a : b + 1] = True
@@ -26,7 +26,7 @@ def _table(*ranges: tuple[int, int]) -> np.ndarray:
 
 
 #: Separators of words `[^\x20\x09-\x0D]+`.
-WHITE = _table((0x20, 0x20), (0x09, 0x0D))
+WHITE = table_of((0x20, 0x20), (0x09, 0x0D))
 #: ASCII lower case, byte by byte.
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -118,3 +118,25 @@ def int_lists(parts: list[np.ndarray], kind: type) -> pa.ListArray:
     sizes = np.array([len(x) for x in parts], np.int64)
     flat_ = np.concatenate(parts).astype(kind) if parts else np.zeros(0, kind)
     return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(flat_))
+
+
+class Memo:
+    """Values of words by fingerprint, in a table of fixed size: of words that want the same slot the last one stays."""
+
+    def __init__(self, kind: type, slots: int = 1 << 20):
+        self.shift, self.keys, self.values = np.uint64(64 - (slots.bit_length() - 1)), np.zeros(slots, np.uint64), np.zeros(slots, kind)
+
+    def __call__(self, prints: np.ndarray, compute: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+        """The value of each word; `compute` gives those of the words at the given places."""
+        slot = prints >> self.shift
+        known = (self.keys[slot] == prints) & (prints != 0)
+        out = self.values[slot]
+        new = np.flatnonzero(~known)
+        if len(new):
+            distinct, one, back = np.unique(prints[new], return_index=True, return_inverse=True)
+            value = np.asarray(compute(new[one]), self.values.dtype)
+            out[new] = value[back]
+            place, last = np.unique((distinct >> self.shift)[::-1], return_index=True)
+            last = len(distinct) - 1 - last
+            self.keys[place], self.values[place] = distinct[last], value[last]
+        return out

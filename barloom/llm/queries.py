@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat, decontaminate, licences, near_dedup, quality, substring_dedup, token_files
+from . import byte_bpe, chat, decontaminate, licences, near_dedup, quality, substring_dedup, token_counts, token_files, toxicity
 from .common import own_folder, shared_folder, table
 
 
@@ -42,10 +42,19 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "passages.n_words", "passages.n_removed", F.sha2("passages.kept", 256).alias("kept_sha256"))
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary("piece_bpe_32k.model")).select("doc_id", "n_tokens")
+
+
 def op5_chat_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.collapse_conversations(table(spark, sf_dir, "conversations"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = toxicity.toxicity_scores(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "toxicity.held_out", "toxicity.score", "toxicity.predicted")
+
+
 def op7_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.licence_labels(table(spark, sf_dir, "documents")).drop("places")
 
@@ -67,4 +76,4 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_tokens(files).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash_near_dedup, op2_quality_rules, op3_substring_dedup, op5_chat_collapse, op7_licence_scan, op8_byte_bpe, op9_decontamination, op10_token_files)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash_near_dedup, op2_quality_rules, op3_substring_dedup, op4_token_counts, op5_chat_collapse, op6_toxicity, op7_licence_scan, op8_byte_bpe, op9_decontamination, op10_token_files)}
