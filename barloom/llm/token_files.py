@@ -26,8 +26,8 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .arrays import blocks, flat, texts_of
-from .chunks import ChunkIds
+from .arrays import blocks, flat
+from .chunk_table import ChunkTable
 from .common import renamed
 
 MAGIC = b"WVMX1"
@@ -147,22 +147,43 @@ class Shard:
 
 
 class _Library:
-    """The tokenizers library behind a cache of chunks; a text in which a chunk could be ambiguous goes to it whole."""
+    """The tokenizers library behind a table of chunks; a text in which a chunk could be ambiguous goes to it whole."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.model = Tokenizer.from_file(path)
-        self.added = [t.content for t in self.model.get_added_tokens_decoder().values()]
-        self.chunks = ChunkIds(self._encode, lambda text: [text])
-
-    def _encode(self, chunks: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.model.encode_batch_fast(chunks, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        out = self.chunks([("" if (odd := any(a in x for a in self.added)) else x) for x in texts])
-        return [np.array(self.model.encode(x, add_special_tokens=False).ids, "<u4") if not len(y) and x else y for x, y in zip(texts, out, strict=True)]
+        self.added = [t.content.encode() for t in self.model.get_added_tokens_decoder().values()]
+        size = self.model.get_vocab_size()
+        self.blank = np.array([(self.model.id_to_token(i) or "").startswith("\u0120") for i in range(size)])  # byte-level form of a blank
+        self.table = ChunkTable(self._joined)
+
+    def _joined(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Chunks that begin with a blank are encoded as one long text: each of them starts with the one id that has a blank in front."""
+        ids, sizes = [], []
+        plain = [k for k, c in enumerate(chunks) if c[:1] != b" " or len(c) == 1]
+        alone = set(plain)
+        rest = [k for k in range(len(chunks)) if k not in alone]
+        for i in range(0, len(rest), 1000):
+            some = rest[i : i + 1000]
+            ids.append(np.array(self.model.encode_batch_fast([b"".join([chunks[k] for k in some]).decode()], add_special_tokens=False)[0].ids, np.uint32))
+            first = np.flatnonzero(self.blank[ids[-1]])
+            if len(first) != len(some):
+                raise ValueError("a chunk has not exactly one id that starts with a blank")
+            sizes.append(np.diff(first, append=len(ids[-1])))
+        for e in self.model.encode_batch_fast([chunks[k].decode() for k in plain], add_special_tokens=False):
+            ids.append(np.array(e.ids, np.uint32))
+            sizes.append(np.array([len(e.ids)]))
+        return np.array(rest + plain), np.concatenate(ids), np.concatenate(sizes)
+
+    def encode(self, column: pa.Array) -> list[np.ndarray]:
+        data, offsets = flat(column)
+        ids, begin, whole = self.table(data, offsets, self.added)
+        out = np.split(ids, begin[1:-1])
+        for k in np.flatnonzero(whole):
+            out[k] = np.array(self.model.encode(column[int(k)].as_py(), add_special_tokens=False).ids, np.uint32)
+        return out
 
 
 @lru_cache(2)
@@ -202,7 +223,7 @@ def write_tokens(df: DataFrame, folder: str, path: str, end_id: int, doc_id: str
         for batch in batches:
             _, ends = flat(batch.column(1))
             for i, j in blocks(ends):
-                for d, ids in zip(batch.column(0).slice(i, j - i).to_pylist(), model.encode(texts_of(batch.column(1).slice(i, j - i))), strict=True):
+                for d, ids in zip(batch.column(0).slice(i, j - i).to_pylist(), model.encode(batch.column(1).slice(i, j - i)), strict=True):
                     ids = np.concatenate((ids, tail))
                     docs.append(d)
                     held.append(ids)
