@@ -172,7 +172,7 @@ def bar_queries() -> dict:
         "resample_monthly": (_resample("months", 1, bars_lines), _periods(LINES_SQL, "month", 1, "dt")),
         "resample_quarters": (_resample("months", 3, bars_orders), _periods(ORDERS_SQL, "month", 3, "dt")),
         "resample_yearly": (_resample("years", 1, bars_orders), _periods(ORDERS_SQL, "year", 1, "dt")),
-        "calendar_days": (lambda s, d: tidy(bars.calendar_days(bars_lines(s, d), fill_vol=0.0)), _fill_sql(_calendar_grid(), LINES_SQL).replace("round(volume, 6)", "round(CASE WHEN close IS NULL THEN 0 ELSE volume END, 6)")),
+        "calendar_days": (lambda s, d: tidy(bars.calendar_days(bars_orders(s, d), fill_vol=0.0)), _fill_sql(_calendar_grid(), ORDERS_SQL).replace("round(volume, 6)", "round(CASE WHEN close IS NULL THEN 0 ELSE volume END, 6)")),
         "calendar_days_middle": (lambda s, d: tidy(bars.calendar_days(bars_orders(s, d), fill_price=-1)), _fill_sql(_calendar_grid(), ORDERS_SQL, "(last_value(high IGNORE NULLS) OVER w + last_value(low IGNORE NULLS) OVER w) / 2")),
         "weekdays_filler": (lambda s, d: tidy(bars.weekdays_filler(bars_orders(s, d), True)), _fill_sql(_calendar_grid("isodow(dt) < 6"), ORDERS_SQL)),
         "session_filler": (lambda s, d: tidy(bars.session_filler(bars_hourly(s, d), "09:00", "17:30", 60)), _fill_sql(_SESSION_GRID, HOURLY_SQL)),
