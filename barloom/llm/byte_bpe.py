@@ -18,8 +18,8 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from .arrays import blocks, flat, int_lists, texts_of
-from .chunks import ChunkIds
+from .arrays import blocks, flat, int_lists
+from .chunk_table import ChunkTable
 from .common import schema_with
 
 LONG = 512
@@ -44,7 +44,7 @@ class RankedBPE:
         self.single = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         pairs = [(a << 32 | b, rank) for word, rank in self.ranks.items() for k in range(1, len(word)) if (a := self.ranks.get(word[:k])) is not None and (b := self.ranks.get(word[k:])) is not None]
         self._build(np.array([x for x, _ in pairs], np.uint64), np.array([x for _, x in pairs], np.int32))
-        self.cached = ChunkIds(self.encode_chunks, self.pattern.findall)
+        self.table = ChunkTable(self._encode_all)
 
     def _build(self, keys: np.ndarray, ranks: np.ndarray) -> None:
         """An open hash table, filled in rounds: of the keys that want a free slot one gets it, the others go on to the next."""
@@ -155,14 +155,23 @@ class RankedBPE:
                 push(before[i])
         return np.array([x for x, on in zip(ids, alive, strict=True) if on], "<i4").tobytes()
 
-    def encode_chunks(self, chunks: list[str]) -> list[bytes]:
-        cut = self.pattern.findall
-        pieces = [[p.encode() for p in x] if len(x := cut(c)) > 1 else [c.encode()] for c in chunks]
-        ids = self.encode_pieces(list({p for c in pieces for p in c}))
-        return [ids[c[0]] if len(c) == 1 else b"".join([ids[p] for p in c]) for c in pieces]
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return self.cached(texts)
+    def _encode_all(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        find = self.pattern.findall
+        pieces = [[p.encode() for p in x] if len(x := find(c.decode())) > 1 else [c] for c in chunks]
+        known = self.encode_pieces(list({p for c in pieces for p in c}))
+        parts = [known[c[0]] if len(c) == 1 else b"".join([known[p] for p in c]) for c in pieces]
+        return np.arange(len(chunks)), np.frombuffer(b"".join(parts), "<u4"), np.array([len(x) for x in parts]) // 4
+
+    def encode(self, column: pa.Array) -> list[np.ndarray]:
+        """The ids of each text; a null text has none."""
+        data, offsets = flat(column)
+        ids, begin, whole = self.table(data, offsets, [])
+        out = np.split(ids, begin[1:-1])
+        for k in np.flatnonzero(whole):
+            pieces = [p.encode() for p in self.pattern.findall(column[int(k)].as_py())]
+            known = self.encode_pieces(list(set(pieces)))
+            out[k] = np.frombuffer(b"".join([known[p] for p in pieces]), "<u4")
+        return out
 
     def decode(self, ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The bytes of all rows of ids, and where each row's begin."""
@@ -193,7 +202,7 @@ def encode_and_decode(df: DataFrame, path: str, pattern: str, text: str = "text"
             _, ends = flat(column)
             for i, j in blocks(ends):
                 part = batch.slice(i, j - i)
-                ids = int_lists(model.encode(texts_of(part.column(part.schema.get_field_index(text)))), np.int32)
+                ids = int_lists(model.encode(part.column(part.schema.get_field_index(text))), np.int32)
                 data, starts = model.decode(ids.values.to_numpy(), ids.offsets.to_numpy())
                 decoded = pa.Array.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(starts.astype(np.int64)), pa.py_buffer(data)])
                 both = pa.StructArray.from_arrays([ids, decoded.cast(pa.binary())], ["ids", "decoded"])
