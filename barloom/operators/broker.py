@@ -48,8 +48,8 @@ class Commission:
         return self.automargin * price if self.automargin else self.margin or 0.0
 
     def cost(self, size: float, price: float) -> float:
-        """Cash that opening needs before fees."""
-        return abs(size) * price / self.leverage if self.stock else abs(size) * self.margin_of(price)
+        """Cash that opening needs before fees; less than nothing for stocks sold short, which bring it."""
+        return size * price / self.leverage if self.stock else abs(size) * self.margin_of(price)
 
     def value(self, size: float, price: float) -> float:
         """What a position adds to the account's value."""
@@ -326,7 +326,7 @@ class Broker:
         if not opens or o.waits:
             return True
         back = self.commission.value(abs(size), price) if size * o.side < 0 else 0.0
-        return self.cash + back - self.commission.cost(opens, price) - self.commission.fee(o.size, price) >= 0
+        return self.cash + back - self.commission.cost(opens * o.side, price) - self.commission.fee(o.size, price) >= 0
 
     # Fills
 
@@ -379,7 +379,7 @@ class Broker:
         opened, closed = probe.update(size, price)
         pnl = c.profit(-closed, before.price, price) if closed else 0.0
         if closed:
-            self.cash += c.profit(-closed, before.price, price) + c.cost(closed, before.price) if c.stock else c.cost(closed, price)
+            self.cash += c.profit(-closed, before.price, price) + c.cost(-closed, before.price) if c.stock else c.cost(closed, price)
             self.cash -= c.fee(closed, price)
         if opened:
             left = self.cash - c.cost(opened, price) - c.fee(opened, price)

@@ -122,15 +122,16 @@ def binary_bars(spark: SparkSession, path, symbol: str, intraday: bool = False)
     """Binary records of a packed day (year * 500 + month * 32 + day), for intraday files minutes, four prices, volume and interest."""
     import struct
 
-    layout = struct.Struct("<IIffffII" if intraday else "<IffffII")
+    form = "<IIffffII" if intraday else "<IffffII"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from datetime import datetime, timedelta
 
+        size = struct.calcsize(form)
         for batch in batches:
             for raw in batch.column(0).to_pylist():
                 out = []
-                for r in layout.iter_unpack(raw[: len(raw) // layout.size * layout.size]):
+                for r in struct.iter_unpack(form, raw[: len(raw) // size * size]):
                     year, rest = divmod(r[0], 500)
                     month, day = divmod(rest, 32)
                     at = datetime(year, month, day) + (timedelta(minutes=r[1]) if intraday else timedelta(hours=23, minutes=59, seconds=59))

@@ -36,7 +36,7 @@ def write_features(df: DataFrame, path: str, summary: str | None = None, partiti
         df.write.parquet(path, mode="overwrite", partitionBy=partition_by)
     if summary:
         made = df.agg(F.count("*").alias("rows"), F.min("dt").alias("first"), F.max("dt").alias("last"))
-        made.select(F.to_json(F.struct("*")).alias("value")).coalesce(1).write.text(summary, mode="overwrite")
+        made.select(F.to_json(F.struct("*")).alias("value")).coalesce(1).write.mode("overwrite").text(summary)
 
 
 def report(results: dict, indent: int = 2, rounding: int | None = None, level: int = 0) -> str:
