@@ -93,6 +93,10 @@ def quality_scores(df: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", te
 
 
 def drop_low_quality(df: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows of `df`, all columns, that quality_scores keeps."""
-    verdict = fresh(df, "verdict")
-    return quality_scores(df, trusted, doc_id, text, verdict, **options).where(F.col(verdict)["kept"]).drop(verdict)
+    """The rows of `df`, all columns, that quality_scores keeps.
+
+    The test holds a part that the optimizer may not move, or it would write out the whole tree of expressions in the filter.
+    """
+    verdict, kept = fresh(df, "verdict"), fresh(df, "kept")
+    scored = quality_scores(df, trusted, doc_id, text, verdict, **options)
+    return scored.withColumn(kept, F.col(verdict)["kept"] & (F.monotonically_increasing_id() >= 0)).where(F.col(kept)).drop(verdict, kept)
