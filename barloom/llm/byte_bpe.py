@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 
 from .arrays import blocks, flat, int_lists
 from .chunk_table import ChunkTable
-from .common import schema_with
+from .common import numbered, schema_with
 
 LONG = 512
 _NONE = np.int32(2**31 - 1)
@@ -192,8 +192,8 @@ def encode_and_decode(df: DataFrame, path: str, pattern: str, text: str = "text"
     Null or empty text: no ids, no bytes. A piece of any length is encoded whole; special tokens are ordinary text.
     A column that is called like `into` is replaced, all others stay, whatever their names; repeated rows stay.
     """
-    if into in df.columns:
-        df = df.drop(into)
+    df, names, text = numbered(df, into, text)
+    into = "result"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load(path, pattern)
@@ -208,13 +208,13 @@ def encode_and_decode(df: DataFrame, path: str, pattern: str, text: str = "text"
                 both = pa.StructArray.from_arrays([ids, decoded.cast(pa.binary())], ["ids", "decoded"])
                 yield pa.RecordBatch.from_arrays([*part.columns, both], [*part.schema.names, into])
 
-    return df.mapInArrow(run, schema_with(df, **{into: "struct<ids: array<int>, decoded: binary>"}))
+    return df.mapInArrow(run, schema_with(df, **{into: "struct<ids: array<int>, decoded: binary>"})).toDF(*names)
 
 
 def decode_ids(df: DataFrame, path: str, pattern: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
     """All columns of `df` and a binary `into`, the bytes of the array `ids`; null ids give no bytes."""
-    if into in df.columns:
-        df = df.drop(into)
+    df, names, ids = numbered(df, into, ids)
+    into = "result"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load(path, pattern)
@@ -225,4 +225,4 @@ def decode_ids(df: DataFrame, path: str, pattern: str, ids: str = "ids", into: s
             raw = pa.Array.from_buffers(pa.large_binary(), len(lists), [None, pa.py_buffer(starts.astype(np.int64)), pa.py_buffer(data)])
             yield pa.RecordBatch.from_arrays([*batch.columns, raw.cast(pa.binary())], [*batch.schema.names, into])
 
-    return df.mapInArrow(run, schema_with(df, **{into: "binary"}))
+    return df.mapInArrow(run, schema_with(df, **{into: "binary"})).toDF(*names)

@@ -22,6 +22,15 @@ def fresh(df: DataFrame, stem: str) -> str:
     return name
 
 
+def numbered(df: DataFrame, into: str, text: str) -> tuple[DataFrame, list[str], str]:
+    """The frame without a column `into` and with its columns numbered, which Arrow functions need for names with dots;
+    the names that its result gets again, `into` last; and the new name of the text column."""
+    names = [c for c in df.columns if c != into or c == text]
+    keep = [k for k, c in enumerate(df.columns) if c in names]
+    out = df.toDF(*(f"c{k}" for k in range(len(df.columns)))).select(*(f"c{k}" for k in keep))
+    return out, [*(df.columns[k] for k in keep), into], f"c{df.columns.index(text)}"
+
+
 def renamed(df: DataFrame, **to: str) -> DataFrame:
     """Only the given columns, under the given names (new=old); the old ones are quoted, so that dots do no harm."""
     return df.select(*(F.col("`" + old.replace("`", "``") + "`").alias(new) for new, old in to.items()))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import blocks, fingerprints, flat, windows, words
-from .common import fresh, renamed, row_hash, schema_with, total_bytes
+from .common import fresh, numbered, renamed, row_hash, schema_with, total_bytes
 
 CHUNK_BYTES = 4 << 20
 BUCKET_WINDOWS = 1 << 20
@@ -50,8 +50,8 @@ def remove_repeated_passages(df: DataFrame, text: str = "text", width: int = 35,
     Null or empty text: no words, kept is empty. Fewer words than `width`: nothing is removed. An empty table gives an
     empty table. A column that is called like `into` is replaced; other columns are left alone, whatever their names.
     """
-    if into in df.columns:
-        df = df.drop(into)
+    df, names, text = numbered(df, into, text)
+    into = "result"
     chunk, size = fresh(df, "chunk"), total_bytes(renamed(df, t=text), "t")
     chunks = max(1, -(-size // CHUNK_BYTES))
     bits = max(1, (size // 6 // BUCKET_WINDOWS).bit_length())
@@ -101,4 +101,4 @@ def remove_repeated_passages(df: DataFrame, text: str = "text", width: int = 35,
     sent = dealt.groupBy(chunk).applyInArrow(send, "chunk long, bucket int, hashes binary")
     told = sent.groupBy("bucket").applyInArrow(meet, "chunk long, hashes binary")
     schema = schema_with(df, **{into: "struct<n_words: long, n_removed: long, kept: string, spans: array<struct<start: long, end: long>>>"})
-    return dealt.groupBy(chunk).cogroup(told.groupBy("chunk")).applyInArrow(take_out, schema)
+    return dealt.groupBy(chunk).cogroup(told.groupBy("chunk")).applyInArrow(take_out, schema).toDF(*names)

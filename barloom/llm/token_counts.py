@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from .arrays import Memo, blocks, fingerprints, flat
-from .common import schema_with
+from .common import numbered, schema_with
 
 MARK = "▁"
 #: What an unknown character is worth less than the worst piece (a fixed value of the tokenizer).
@@ -101,8 +101,8 @@ def count_tokens(df: DataFrame, path: str, text: str = "text", into: str = "n_to
 
     A column that is called like `into` is replaced; others, and repeated rows, stay.
     """
-    if into in df.columns:
-        df = df.drop(into)
+    df, names, text = numbered(df, into, text)
+    into = "result"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load(path)
@@ -111,4 +111,4 @@ def count_tokens(df: DataFrame, path: str, text: str = "text", into: str = "n_to
             parts = [model.counts(column.slice(i, j - i)) for i, j in blocks(flat(column)[1])]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(parts) if parts else [], pa.int64())], [*batch.schema.names, into])
 
-    return df.mapInArrow(run, schema_with(df, **{into: "long"}))
+    return df.mapInArrow(run, schema_with(df, **{into: "long"})).toDF(*names)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import LOWER, Memo, blocks, fingerprints, flat, mix, powers, table_of, words
-from .common import cut_lineage, renamed, schema_with
+from .common import cut_lineage, numbered, renamed, schema_with
 from .native import letter_words
 
 ORDER, SHARED, DISCOUNT, DEAD_ZONE = 5, 2, 0.75, 4.0
@@ -227,12 +227,13 @@ def toxicity_scores(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", te
     evidence; without labelled documents of both classes all scores are 0. Words are `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`
     with A-Z lower-cased. A column called like `into` is replaced; others, and repeated rows, stay.
     """
-    if into in df.columns:
-        df = df.drop(into)
     model = train(df, labels, doc_id, text, label, max_docs)
-    held = F.pmod(F.crc32(F.col("`" + doc_id.replace("`", "``") + "`").cast("string")), F.lit(5)) == 0
+    number = df.columns.index(doc_id)
+    df, names, text = numbered(df, into, text)
+    into = "result"
+    held = F.pmod(F.crc32(F.col(f"c{number}").cast("string")), F.lit(5)) == 0
     if model is None:
-        return df.withColumn(into, F.struct(held.alias("held_out"), F.lit(0.0).alias("score"), F.lit(0).alias("predicted")))
+        return df.withColumn(into, F.struct(held.alias("held_out"), F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))).toDF(*names)
     sent = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,4 +243,4 @@ def toxicity_scores(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", te
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-np.clip(a * mean + b, -500, 500))), pa.float64())], [*batch.schema.names, into])
 
     scored, score = df.mapInArrow(run, schema_with(df, **{into: "double"})), F.col(into)
-    return scored.withColumn(into, F.struct(held.alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted")))
+    return scored.withColumn(into, F.struct(held.alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted"))).toDF(*names)
