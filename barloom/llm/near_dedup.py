@@ -8,10 +8,11 @@
 3. A bucket (documents with the same band) is star-shaped: every member is paired with the smallest id only, so pairs
    grow with the rows and never with the square of a bucket.
 4. Pairs are confirmed on full sets: a table of the sets of bucketed documents is joined to both sides.
-5. Confirmed links make components. A star can miss a link between two members that aren't like its centre; so buckets
-   that still hold several components are gone through again: each member outside the bucket's largest component is
-   paired with the members of other components, if the two share at least 3 bands (a pair of similarity 0.75 fails
-   that with probability 5e-8). This repeats until no new pair is found.
+5. Confirmed links make components. A star can miss a link between two members that aren't like its centre; so the
+   candidate stars, confirmed or not, are joined into families (two documents that share a band are in one family). In
+   a family of several components every document outside the largest is held against all others, in blocks of bounded
+   size: first by 504-bit sketches of the signatures, then, for the few documents that pass with anyone, on full sets.
+   A block returns a spanning forest of the links it finds, so rows stay in proportion to documents.
 """
 
 from __future__ import annotations
@@ -30,8 +31,10 @@ from .graph import components
 
 BANDS, ROWS = 42, 3
 BINS = BANDS * ROWS
-#: Bands that a pair shares at least to be confirmed in the later rounds.
-SHARED = 3
+#: Bits in which two sketches may differ: a pair of similarity 0.75 has 63 on average, with a deviation of 11.
+SKETCH_BITS = 108
+#: Documents on either side of a block.
+BLOCK_ROWS = 2000
 _SALT = np.uint64(0xA24BAED4963EE407)
 
 
@@ -57,16 +60,16 @@ def shingle_sets(column: pa.Array, width: int) -> list[np.ndarray]:
             if n >= width:
                 out.append(np.unique(h[cut[k] : cut[k + 1]]))
             elif n:
-                out.append(mix((prints[first[k] : first[k + 1]] * p[:n]).sum(dtype=np.uint64, keepdims=True) + np.uint64(n) * _SALT))
+                out.append(mix((prints[first[k] : first[k + 1]] * p[:n]).sum(dtype=np.uint64, keepdims=True) + np.array([n], np.uint64) * _SALT))
             else:
                 out.append(np.zeros(0, np.uint64))
     return out
 
 
-def bands_of(hashes: np.ndarray) -> np.ndarray:
-    """The band hashes of a sorted set; none for an empty set."""
+def signature(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The band hashes of a sorted set, and its sketch: 4 bits of every bin's value. None for an empty set."""
     if not len(hashes):
-        return hashes
+        return hashes, hashes
     bins = ((hashes >> np.uint64(32)) * np.uint64(BINS) >> np.uint64(32)).astype(np.int64)
     firsts = np.flatnonzero(np.diff(bins, prepend=-1))
     values, full = np.zeros(BINS, np.uint64), np.zeros(BINS, bool)
@@ -80,17 +83,21 @@ def bands_of(hashes: np.ndarray) -> np.ndarray:
         values[empty[ok]] = values[probes[ok, found[ok].argmax(1)]]
         empty, width = empty[~ok], width * 8
     lanes = mix(values.reshape(BANDS, ROWS) + np.arange(1, ROWS + 1, dtype=np.uint64) * _SALT)
-    return mix(lanes.sum(1, dtype=np.uint64) ^ np.arange(BANDS, dtype=np.uint64) * _SALT)
+    nibbles = np.zeros(-(-BINS // 16) * 16, np.uint64)
+    nibbles[:BINS] = mix(values ^ _SALT) & np.uint64(15)
+    sketch = np.bitwise_or.reduce(nibbles.reshape(-1, 16) << np.arange(0, 64, 4, dtype=np.uint64), axis=1)
+    return mix(lanes.sum(1, dtype=np.uint64) ^ np.arange(BANDS, dtype=np.uint64) * _SALT), sketch
 
 
 def _signatures(docs: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(i, j - i) for whole in batches for i, j in blocks(flat(whole.column(1))[1], 1 << 22)):
             sets = shingle_sets(batch.column(1), width)
             two = np.array([[mix(s).sum(dtype=np.uint64), mix(s * _SALT + np.uint64(7)).sum(dtype=np.uint64)] for s in sets], np.uint64).reshape(-1, 2).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(two[:, 0]), pa.array(two[:, 1]), int_lists([bands_of(s) for s in sets], np.int64)], ["id", "n", "f1", "f2", "bands"])
+            signed = [signature(s) for s in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(two[:, 0]), pa.array(two[:, 1]), int_lists([b for b, _ in signed], np.int64), pa.array([x.tobytes() for _, x in signed], pa.binary())], ["id", "n", "f1", "f2", "bands", "sketch"])
 
-    return docs.mapInArrow(run, "id long, n long, f1 long, f2 long, bands array<long>")
+    return docs.mapInArrow(run, "id long, n long, f1 long, f2 long, bands array<long>, sketch binary")
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
@@ -134,42 +141,89 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     docs = renamed(df, id=doc_id, text=text)
     signed = cut_lineage(_signatures(docs, width))
     real = signed.where("n > 0 and id is not null")
-    classes = real.groupBy("f1", "f2").agg(F.min("id").alias("rep"), F.min_by("bands", "id").alias("bands"), F.min("n").alias("n"), F.count("*").alias("copies"))
+    classes = real.groupBy("f1", "f2").agg(F.min("id").alias("rep"), F.min_by(F.struct("bands", "sketch"), "id").alias("s"), F.min("n").alias("n"), F.count("*").alias("copies"))
     classes = cut_lineage(classes)
-    banded = classes.select("rep", "n", F.explode("bands").alias("band"))
+    banded = classes.select("rep", "n", F.explode("s.bands").alias("band"))
     full = banded.groupBy("band").agg(F.min(F.struct("rep", "n")).alias("least"), F.count("*").alias("members")).where("members > 1")
-    members = cut_lineage(banded.join(full, "band").select("band", "members", "rep", "n", F.col("least.rep").alias("centre"), F.col("least.n").alias("centre_n")))
-    alike = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(F.col(x), F.col(y))
-    pairs = members.where(F.col("rep") != F.col("centre")).where(alike("n", "centre_n")).select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
-    bucketed = docs.join(members.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").groupBy("id").agg(F.max("text").alias("text"))
+    starred = banded.join(full, "band").select("rep", "n", F.col("least.rep").alias("centre"), F.col("least.n").alias("centre_n"))
+    stars = cut_lineage(starred.where("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b"), F.col("centre_n").alias("x"), F.col("n").alias("y")).distinct())
+    families = cut_lineage(components(stars))
+    bucketed = docs.join(families.select(F.col("node").alias("id")), "id", "left_semi").groupBy("id").agg(F.max("text").alias("text"))
     sets = cut_lineage(_sets(bucketed, width))
-    tried = cut_lineage(pairs)
-    links = cut_lineage(_confirmed(tried, sets, percent))
-    while True:
-        found = cut_lineage(components(links))
-        again = cut_lineage(_again(members, found, alike).join(tried, ["a", "b"], "left_anti"))
-        if again.isEmpty():
-            break
-        more = cut_lineage(_confirmed(again, sets, percent))
-        if more.isEmpty():
-            break
-        tried, links = tried.unionByName(again), links.unionByName(more)
+    pairs = stars.where(100 * F.least("x", "y") >= percent * F.greatest("x", "y")).select("a", "b")
+    links = cut_lineage(_confirmed(pairs, sets, percent))
+    found = cut_lineage(components(links))
+    more = cut_lineage(_across(classes, families, found, sets, percent))
+    if not more.isEmpty():
+        found = cut_lineage(components(links.unionByName(more)))
     by_class = classes.join(found, classes["rep"] == found["node"], "left").select("f1", "f2", F.coalesce("component", "rep").alias("component"))
     rows = signed.select("id", "n", "f1", "f2").join(by_class, ["f1", "f2"], "left")
     component = F.when(F.col("id").isNull(), None).when(F.col("n") > 0, F.col("component")).otherwise(F.col("id"))
     return rows.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
 
-def _again(members: DataFrame, found: DataFrame, alike) -> DataFrame:
-    """Pairs across components in the buckets of three members or more: those outside the bucket's largest component with all others."""
-    placed = members.where("members > 2").join(found, members["rep"] == found["node"], "left").select("band", "rep", "n", F.coalesce("component", "rep").alias("component"))
-    sizes = placed.groupBy("band", "component").agg(F.count("*").alias("size"))
-    largest = sizes.groupBy("band").agg(F.max_by("component", F.struct("size", "component")).alias("largest"), F.count("*").alias("parts")).where("parts > 1")
-    mixed = placed.join(largest, "band")
-    odd = mixed.where("component <> largest").select("band", F.col("rep").alias("x"), F.col("n").alias("xn"), F.col("component").alias("xc"))
-    pairs = odd.join(mixed.select("band", F.col("rep").alias("y"), F.col("n").alias("yn"), F.col("component").alias("yc"), (F.col("component") == F.col("largest")).alias("main")), "band")
-    pairs = pairs.where("xc <> yc and (main or x < y)").where(alike("xn", "yn"))
-    return pairs.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.count("*").alias("shared")).where(F.col("shared") >= SHARED).select("a", "b")
+def _across(classes: DataFrame, families: DataFrame, found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between components of one family, enough of them to join all components that links join."""
+    placed = families.select(F.col("node").alias("rep"), F.col("component").alias("family")).join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")
+    placed = placed.select("family", "rep", F.coalesce("component", "rep").alias("component"))
+    sizes = placed.groupBy("family", "component").agg(F.count("*").alias("size"))
+    largest = sizes.groupBy("family").agg(F.max_by("component", F.struct("size", "component")).alias("largest"), F.count("*").alias("parts"), F.sum("size").alias("all"), F.max("size").alias("most"))
+    rows = placed.join(largest.where("parts > 1 and all > 2"), "family").join(classes.select("rep", "n", F.col("s.sketch").alias("sketch")), "rep")
+    rows = cut_lineage(rows.select("family", "rep", "component", "n", "sketch", (F.col("component") != F.col("largest")).alias("odd"), (F.col("all") - F.col("most")).alias("odds"), "all"))
+    near = cut_lineage(_blocks(rows.withColumn("hashes", F.lit(None).cast("binary")), percent, links=False).select(F.col("a").alias("rep")).distinct())
+    counted = rows.join(near, "rep", "left_semi")
+    counts = counted.groupBy("family").agg(F.sum(F.col("odd").cast("long")).alias("odds"), F.count("*").alias("all"))
+    counted = counted.drop("odds", "all").join(counts, "family").join(sets.withColumnRenamed("id", "rep"), "rep")
+    return _blocks(counted, percent, links=True)
+
+
+def _blocks(rows: DataFrame, percent: int, links: bool) -> DataFrame:
+    """Holds the odd rows of every family against all of its rows. With links: links (a, b), a spanning forest for each
+    block; without: (a, null) for every row whose sketch is near that of a row in another component."""
+    i, j = F.pmod(F.xxhash64("rep"), F.ceil(F.col("odds") / BLOCK_ROWS)).cast("int"), F.pmod(F.xxhash64("rep", F.lit(1)), F.ceil(F.col("all") / BLOCK_ROWS)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), (F.ceil(F.col(n) / BLOCK_ROWS) - 1).cast("int")))
+    columns = ["family", "rep", "component", "n", "sketch", "hashes"]
+    left = rows.where("odd").select(*columns, F.lit(True).alias("odd"), i.alias("i"), every("all").alias("j"))
+    right = rows.where("odds > 0").select(*columns, F.lit(False).alias("odd"), j.alias("j"), every("odds").alias("i"))
+
+    def hold(t: pa.Table) -> pa.Table:
+        odd = t["odd"].to_numpy()
+        sketch = np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint64).reshape(t.num_rows, -1)
+        rep, component, n = t["rep"].to_numpy(), t["component"].to_numpy(), t["n"].to_numpy()
+        x, y = np.flatnonzero(odd), np.flatnonzero(~odd)
+        sets = [np.frombuffer(v, np.uint64) for v in t["hashes"].to_pylist()] if links else []
+        root: dict[int, int] = {}
+
+        def top(v: int) -> int:
+            while root.get(v, v) != v:
+                v = root[v] = root.get(root[v], root[v])
+            return v
+
+        out, some = [], [np.zeros(0, np.int64)]
+        for k in x.tolist():
+            ok = (component[y] != component[k]) & (100 * np.minimum(n[y], n[k]) >= percent * np.maximum(n[y], n[k]))
+            ok[ok] = np.bitwise_count(sketch[y[ok]] ^ sketch[k]).sum(1) <= SKETCH_BITS
+            near = y[ok]
+            if not links:
+                some += [rep[near], rep[[k]]] if len(near) else []
+                continue
+            own = top(int(component[k]))
+            near = [q for q in near.tolist() if top(int(component[q])) != own]
+            if not near:
+                continue
+            mine, theirs = sets[k], np.concatenate([sets[q] for q in near])
+            same = mine[np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)] == theirs
+            common = np.add.reduceat(same.astype(np.int64), np.cumsum([0, *(len(sets[q]) for q in near[:-1])]))
+            for q, both in zip(near, common.tolist(), strict=True):
+                if 100 * both >= percent * (len(mine) + len(sets[q]) - both) and top(int(component[k])) != top(int(component[q])):
+                    root[top(int(component[k]))] = top(int(component[q]))
+                    out.append((int(rep[k]), int(rep[q])))
+        if not links:
+            found = np.unique(np.concatenate(some))
+            return pa.table({"a": pa.array(found, pa.int64()), "b": pa.nulls(len(found), pa.int64())})
+        return pa.table({"a": pa.array([p for p, _ in out], pa.int64()), "b": pa.array([q for _, q in out], pa.int64())})
+
+    return left.unionByName(right).groupBy("family", "i", "j").applyInArrow(hold, "a long, b long")
 
 
 def keep_one_of_each(df: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
