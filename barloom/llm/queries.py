@@ -78,4 +78,4 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash_near_dedup, op2_quality_rules, op3_substring_dedup, op4_token_counts, op5_chat_collapse, op6_toxicity, op7_licence_scan, op8_byte_bpe, op9_decontamination, op10_token_files)}
 
-ORACLES: dict[str, str] = {"op1_minhash_near_dedup": oracles.NEAR_DEDUP, "op3_substring_dedup": oracles.SUBSTRING_DEDUP, "op5_chat_collapse": oracles.CHAT_COLLAPSE, "op9_decontamination": oracles.DECONTAMINATION}
+ORACLES: dict[str, str] = {"op1_minhash_near_dedup": oracles.NEAR_DEDUP, "op3_substring_dedup": oracles.SUBSTRING_DEDUP, "op5_chat_collapse": oracles.CHAT_COLLAPSE, "op7_licence_scan": oracles.licence_scan(), "op9_decontamination": oracles.DECONTAMINATION}
