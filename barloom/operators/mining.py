@@ -352,3 +352,53 @@ def correlations(df: DataFrame, features: list[str], horizons: list[str]) -> Dat
     return df.agg(row.alias("r")).select(F.inline("r"))
 
 
+
+
+# Feature names and search spaces: small things that the driver holds
+
+_NAME = re.compile(r"(?:delta_(?P<delta>\d+)_)?(?P<family>[a-z_]+?)_?(?P<scale>\d+)?(?:_tf(?P<tf>\d+))?")
+
+
+def feature_meta(name: str) -> dict:
+    """family, scale, tf and delta of a feature's name, e.g. delta_5_ema20_tf60; None for what it lacks."""
+    m = _NAME.fullmatch(name)
+    number = lambda k: int(m[k]) if m and m[k] else None
+    return {"family": m["family"] if m else name, "scale": number("scale"), "tf": number("tf"), "delta": number("delta")}
+
+
+def candidate_features(columns: list[str], prefixes: tuple[str, ...]) -> list[str]:
+    return [c for c in columns if c.startswith(prefixes) or c.startswith(tuple(f"delta_{k}_{p}" for p in prefixes for k in range(1, 241)))]
+
+
+def may_extend(rule: list[str], name: str, per_family: int = 2, ratio: float = 2.0) -> bool:
+    """Whether a feature may join a rule: at most `per_family` of a family, and no two whose scales are within `ratio` of one another."""
+    new, old = feature_meta(name), [feature_meta(r) for r in rule]
+    same = [m for m in old if m["family"] == new["family"]]
+    if name in rule or len(same) >= per_family:
+        return False
+    return all(m["tf"] != new["tf"] or not (m["scale"] and new["scale"]) or not 1 / ratio <= m["scale"] / new["scale"] <= ratio for m in same)
+
+
+def sample_spec(spec: dict, n: int, seed: int = 0) -> list[dict]:
+    """n random settings: 'a-b' is a range (of whole numbers if both are), a list a choice, anything else itself."""
+    import random
+
+    r, out = random.Random(seed), []
+    for _ in range(n):
+        one = {}
+        for k, v in spec.items():
+            if isinstance(v, str) and re.fullmatch(r"-?[\d.]+-[\d.]+", v):
+                a, b = v.rsplit("-", 1)
+                one[k] = r.uniform(float(a), float(b)) if "." in v else r.randint(int(a), int(b))
+            else:
+                one[k] = r.choice(v) if isinstance(v, (list, tuple)) else v
+        out.append(one)
+    return out
+
+
+def loss_risk(loss_rate: float, worst: float, drawdown: float) -> dict:
+    """How many of the worst losses reach a drawdown, and the probability of as many in a row."""
+    import math
+
+    n = math.ceil(math.log(1 - drawdown) / math.log(1 + worst)) if -1 < worst < 0 else None
+    return {"losses_to_drawdown": n, "streak_probability": loss_rate**n if n is not None else None}

@@ -8,7 +8,7 @@ from barloom.sources.views import HOURLY_SQL, ORDERS_SQL, bars_hourly, bars_orde
 
 _EQUITY = "SELECT symbol, dt, close * CAST(0.4 AS DOUBLE) + 1000 AS cash, close + 1000 AS value FROM @bars"
 _TRADES = "SELECT o_orderpriority AS symbol, o_orderkey AS ref, o_custkey % 2 = 0 AS long, o_orderdate AS dtopen, CASE WHEN o_orderkey % 10 <> 0 THEN o_orderdate END AS dtclose, o_custkey % 30 AS barlen, o_totalprice - 150000 AS pnl, o_totalprice - 150250 AS pnlcomm FROM @orders"
-_EXECUTIONS = "SELECT l_returnflag AS symbol, CAST(l_shipdate AS @ts) AS dt, CASE WHEN l_linestatus = 'F' THEN l_quantity ELSE -l_quantity - 1000 END AS size, l_extendedprice AS price FROM @lineitem"
+_EXECUTIONS = "SELECT l_returnflag AS symbol, CAST(l_shipdate AS @ts) AS dt, CASE WHEN l_linestatus = 'F' THEN l_quantity * 7 ELSE -l_quantity * 7 - 7000 END AS size, l_extendedprice AS price FROM @lineitem"
 
 
 def analyzer_queries() -> dict:

@@ -7,11 +7,13 @@ from datetime import timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barloom.operators import align
 from barloom.operators import analyzers as A
 from barloom.operators import broker as B
 from barloom.operators import mining as M
-from barloom.operators.indicators import CLOSE, crossing, sma
-from barloom.plans.lines import to_sql, with_lines
+from barloom.operators.indicators import CLOSE, crossing, ols_transformation, sma
+from barloom.operators.trailing import multi_take_profit, pair_trading
+from barloom.plans.lines import col, to_sql, with_lines
 from barloom.plans.sql import duck_sql, spark_sql
 from barloom.queries_indicators import line_query
 from barloom.sources.views import HOURLY_SQL, ORDERS_SQL, bars_hourly, bars_orders
@@ -245,6 +247,32 @@ def q_backtest_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return draw.join(sqn, "symbol", "left")
 
 
+def q_multi_take_profit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = with_lines(bars_orders(spark, sf_dir), {"x": crossing(CLOSE, sma(CLOSE, 10))}).withColumn("enter", F.col("x") > 0)
+    out = multi_take_profit(b, "enter", (0.05, 0.1, 0.2), stop=0.1, hold=30, trail=0.05)
+    return out.select("symbol", "dt", F.round("pnl", 6).alias("pnl"), "outcome", "exit", "bars", "take_hits", "bars_to_take")
+
+
+_PAIR_LINES = ols_transformation(col("y"), col("x"), period=20)
+
+
+def pair_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    feeds = {"y": bars_orders(spark, sf_dir).where("symbol = '1-URGENT'"), "x": bars_orders(spark, sf_dir).where("symbol = '5-LOW'")}
+    both = align.merge_feeds(feeds).where("y IS NOT NULL AND x IS NOT NULL").withColumn("pair", F.lit(1))
+    return with_lines(both, {"zscore": _PAIR_LINES["zscore"]}, key="pair")
+
+
+def q_pair_zscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pair_frame(spark, sf_dir).select("pair", "dt", F.round("zscore", 5).alias("zscore"))
+
+
+def q_pair_trading(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pair_trading(pair_frame(spark, sf_dir), 1.5, -1.5, cash=5_000_000.0).select("pair", "dt", "status", "size_y", "size_x", F.round("value", 2).alias("value"))
+
+
+_MERGED = f"WITH b AS ({ORDERS_SQL}), t AS (SELECT DISTINCT dt FROM b WHERE symbol IN ('1-URGENT', '5-LOW')), u AS (SELECT * FROM b WHERE symbol = '1-URGENT'), l AS (SELECT * FROM b WHERE symbol = '5-LOW') SELECT 1 AS pair, t.dt, u.close AS y, l.close AS x FROM t ASOF JOIN u ON t.dt >= u.dt ASOF JOIN l ON t.dt >= l.dt"
+
+
 def mining_queries() -> dict:
     values = duck_sql(_VALUES, bars=ORDERS_SQL)
     return {
@@ -257,4 +285,5 @@ def mining_queries() -> dict:
         "mine_walk_forward": (q_walk_forward, _WALK_SQL), "mine_ratios": (lambda s, d: spark_sql(M.RATIOS, values=spark_sql(_VALUES, bars=bars_orders(s, d))), duck_sql(M.RATIOS, values=values)), "mine_loss_streaks": (lambda s, d: spark_sql(M.LOSS_STREAKS, values=spark_sql(_VALUES, bars=bars_orders(s, d))), duck_sql(M.LOSS_STREAKS, values=values)),
         "mine_events": (q_events, _EVENTS_SQL), "pick_cooldown": (q_cooldown, _COOLDOWN_SQL), "pick_topk_per_day": (q_topk, None), "pick_one_at_a_time": (q_one_at_a_time, _ONE_SQL), "mine_correlations": (q_correlations, _CORR_SQL), "mine_sanity": (q_sanity, _SANITY_SQL),
         "sim_cross_trades": (q_cross_trades, _TRADES_SQL), "sim_cross_equity": (q_cross_equity, _EQUITY_SQL), "sim_order_types": (q_scenario, None), "sim_signals": (q_signals, None), "sim_sweep": (q_sweep, None), "sim_backtest_summary": (q_backtest_summary, None),
+        "sim_multi_take_profit": (q_multi_take_profit, None), "pair_zscore": (q_pair_zscore, to_sql(_MERGED, {"zscore": _PAIR_LINES["zscore"]}, "pair, dt, round(zscore, 5) AS zscore", key="pair")), "sim_pair_trading": (q_pair_trading, None),
     }
