@@ -556,15 +556,22 @@ def simulate(bars: DataFrame, strategy: Callable[[dict], object], broker: Callab
                 for o in state[0].pending:
                     out.append(dict(zip(keys, last, strict=True)) | order_row(o, "open"))
 
-        def flush(schema: pa.Schema) -> pa.RecordBatch:
-            batch = pa.RecordBatch.from_pylist(out, schema=schema)
-            out.clear()
-            return batch
-
-        schema = None
+        def flush(schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+            if out:
+                yield pa.RecordBatch.from_pylist(out, schema=schema)
+                out.clear()
+            if curve:
+                made = dict(zip(shown, zip(*curve, strict=True), strict=True))
+                n = len(curve)
+                yield pa.RecordBatch.from_arrays([pa.array(made[f.name], f.type) if f.name in made else pa.array(["equity"] * n) if f.name == "kind" else pa.nulls(n, f.type) for f in schema], schema=schema)
+                curve.clear()
+
+        schema, curve, shown = None, [], (*keys, "dt", "cash", "value", "fundvalue", "size", "price")
         for batch in batches:
             schema = schema or pa.schema([batch.schema.field(k) for k in keys] + list(_SCHEMA))
-            for bar in batch.to_pylist():
+            names = batch.schema.names
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                bar = dict(zip(names, row, strict=True))
                 key = tuple(bar[k] for k in keys)
                 if key != last:
                     end()
@@ -572,12 +579,14 @@ def simulate(bars: DataFrame, strategy: Callable[[dict], object], broker: Callab
                 b, s = state
                 b.start_bar(bar)
                 s.next(b, bar)
-                drain(b, key)
-                out.append(dict(zip(keys, key, strict=True)) | {"kind": "equity", "dt": bar["dt"], "cash": b.cash, "value": b.value(), "fundvalue": b.value() / b.fund_shares, "size": b.position.size, "price": b.position.price})
-            yield flush(schema)
+                if b.finished or b.closed_trades or b.executions:
+                    drain(b, key)
+                value = b.value()
+                curve.append((*key, bar["dt"], b.cash, value, value / b.fund_shares, b.position.size, b.position.price))
+            yield from flush(schema)
         end()
-        if out:
-            yield flush(schema)
+        if schema:
+            yield from flush(schema)
 
     from pyspark.sql import types as T
 

@@ -11,8 +11,8 @@ import inspect
 import math
 from collections.abc import Callable
 
-from barloom.functions.scalar import all_of, any_of, choose_by_order, div_by_zero, div_zero_by_zero, if_else, max_of, min_of
-from barloom.plans.lines import Line, col, cumulative, extreme_row, fold, lag, last_known, lead, line, op, over, rolling, row_number, values
+from barloom.functions.scalar import all_of, choose_by_order, div_by_zero, div_zero_by_zero, if_else, max_of, min_of
+from barloom.plans.lines import Line, col, cumulative, extreme_row, fold, lag, last_known, lead, line, op, rolling, row_number, values
 
 OPEN, HIGH, LOW, CLOSE, VOLUME = (col(c) for c in ("open", "high", "low", "close", "volume"))
 Lines = dict[str, Line]
@@ -816,6 +816,3 @@ def relative_volume(period=20, volisnan=False):
     """Volume `period` bars ago by today's; without volume 0, or null where missing volume is null already."""
     v = lag(VOLUME, period)
     return {"relvol": v / VOLUME if volisnan else div_by_zero(v, VOLUME)}
-
-
-__all__ = ["AVERAGES", "CANONICAL", "REGISTRY", "any_of", "crossing", "indicator", "ma", "over"]
