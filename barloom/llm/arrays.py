@@ -7,6 +7,8 @@ words by one subtraction and one multiplication.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -108,9 +110,18 @@ def windows(prints: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarr
     return at, mix((sums[at + width] - sums[at]) * inverse[at])
 
 
-def texts_of(column: pa.Array) -> list[str]:
-    """Python strings; a null text is empty."""
-    return pc.fill_null(column, "").to_pylist()
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The same function over batches, after which a worker gives back the memory that its freed arrays leave behind."""
+
+    def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # a C library without it
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return trimmed
 
 
 def int_lists(parts: list[np.ndarray], kind: type) -> pa.ListArray:

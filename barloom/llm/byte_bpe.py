@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from .arrays import blocks, flat, int_lists
+from .arrays import blocks, flat, int_lists, lean
 from .chunk_table import ChunkTable
 from .common import numbered, schema_with
 
@@ -44,7 +44,7 @@ class RankedBPE:
         self.single = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         pairs = [(a << 32 | b, rank) for word, rank in self.ranks.items() for k in range(1, len(word)) if (a := self.ranks.get(word[:k])) is not None and (b := self.ranks.get(word[k:])) is not None]
         self._build(np.array([x for x, _ in pairs], np.uint64), np.array([x for _, x in pairs], np.int32))
-        self.table = ChunkTable(self._encode_all)
+        self.table = ChunkTable(self._encode_all, 1 << 20)
 
     def _build(self, keys: np.ndarray, ranks: np.ndarray) -> None:
         """An open hash table, filled in rounds: of the keys that want a free slot one gets it, the others go on to the next."""
@@ -208,7 +208,7 @@ def encode_and_decode(df: DataFrame, path: str, pattern: str, text: str = "text"
                 both = pa.StructArray.from_arrays([ids, decoded.cast(pa.binary())], ["ids", "decoded"])
                 yield pa.RecordBatch.from_arrays([*part.columns, both], [*part.schema.names, into])
 
-    return df.mapInArrow(run, schema_with(df, **{into: "struct<ids: array<int>, decoded: binary>"})).toDF(*names)
+    return df.mapInArrow(lean(run), schema_with(df, **{into: "struct<ids: array<int>, decoded: binary>"})).toDF(*names)
 
 
 def decode_ids(df: DataFrame, path: str, pattern: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
@@ -225,4 +225,4 @@ def decode_ids(df: DataFrame, path: str, pattern: str, ids: str = "ids", into: s
             raw = pa.Array.from_buffers(pa.large_binary(), len(lists), [None, pa.py_buffer(starts.astype(np.int64)), pa.py_buffer(data)])
             yield pa.RecordBatch.from_arrays([*batch.columns, raw.cast(pa.binary())], [*batch.schema.names, into])
 
-    return df.mapInArrow(run, schema_with(df, **{into: "binary"})).toDF(*names)
+    return df.mapInArrow(lean(run), schema_with(df, **{into: "binary"})).toDF(*names)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import LOWER, blocks, fingerprints, flat, int_lists, mix, powers, windows, words
+from .arrays import LOWER, blocks, fingerprints, flat, int_lists, lean, mix, powers, windows, words
 from .common import cut_lineage, fresh, renamed
 from .graph import components
 
@@ -97,7 +97,7 @@ def _signatures(docs: DataFrame, width: int) -> DataFrame:
             signed = [signature(s) for s in sets]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(two[:, 0]), pa.array(two[:, 1]), int_lists([b for b, _ in signed], np.int64), pa.array([x.tobytes() for _, x in signed], pa.binary())], ["id", "n", "f1", "f2", "bands", "sketch"])
 
-    return docs.mapInArrow(run, "id long, n long, f1 long, f2 long, bands array<long>, sketch binary")
+    return docs.mapInArrow(lean(run), "id long, n long, f1 long, f2 long, bands array<long>, sketch binary")
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
@@ -108,7 +108,7 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
                 sets = [s.tobytes() for s in shingle_sets(batch.column(1).slice(i, j - i), width)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(sets, pa.binary())], ["id", "hashes"])
 
-    return docs.mapInArrow(run, "id long, hashes binary")
+    return docs.mapInArrow(lean(run), "id long, hashes binary")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -126,7 +126,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(kept), batch.column(1).filter(kept)], ["a", "b"])
 
     one, two = sets.select(F.col("id").alias("a"), F.col("hashes").alias("x")), sets.select(F.col("id").alias("b"), F.col("hashes").alias("y"))
-    return pairs.select("a", "b").join(two, "b").join(one, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return pairs.select("a", "b").join(two, "b").join(one, "a").select("a", "b", "x", "y").mapInArrow(lean(run), "a long, b long")
 
 
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 75) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .arrays import Memo, blocks, fingerprints, flat
+from .arrays import Memo, blocks, fingerprints, flat, lean
 from .common import numbered, schema_with
 
 MARK = "▁"
@@ -111,4 +111,4 @@ def count_tokens(df: DataFrame, path: str, text: str = "text", into: str = "n_to
             parts = [model.counts(column.slice(i, j - i)) for i, j in blocks(flat(column)[1])]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(parts) if parts else [], pa.int64())], [*batch.schema.names, into])
 
-    return df.mapInArrow(run, schema_with(df, **{into: "long"})).toDF(*names)
+    return df.mapInArrow(lean(run), schema_with(df, **{into: "long"})).toDF(*names)

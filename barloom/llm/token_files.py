@@ -26,7 +26,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .arrays import blocks, flat
+from .arrays import blocks, flat, lean
 from .chunk_table import ChunkTable
 from .common import renamed
 
@@ -234,7 +234,7 @@ def write_tokens(df: DataFrame, folder: str, path: str, end_id: int, doc_id: str
         if docs:
             yield close()
 
-    files = spread.mapInArrow(run, "part int, seq int, file string, n_docs long, n_ids long")
+    files = spread.mapInArrow(lean(run), "part int, seq int, file string, n_docs long, n_ids long")
     files = files.checkpoint()
     parts = files.groupBy("part").agg(F.sum("n_ids").alias("ids")).orderBy("part").collect()  # as many rows as partitions
     starts, at = [], 0
@@ -262,4 +262,4 @@ def read_tokens(files: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_pydict({"doc_id": pa.array(shard.docs[i : i + 2000], pa.int64()), "start": pa.array(a + start), "n_tokens": pa.array(b - a), "ids": pa.array([raw[4 * x : 4 * y] for x, y in zip(a, b, strict=True)], pa.binary())})
 
     n = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return files.select("file", "start").repartition(n, "file").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+    return files.select("file", "start").repartition(n, "file").mapInArrow(lean(run), "doc_id long, start long, n_tokens long, ids binary")

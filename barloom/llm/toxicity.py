@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import LOWER, Memo, blocks, fingerprints, flat, mix, powers, table_of, words
+from .arrays import LOWER, Memo, blocks, fingerprints, flat, lean, mix, powers, table_of, words
 from .common import cut_lineage, numbered, renamed, schema_with
 from .native import letter_words
 
@@ -194,7 +194,7 @@ def _means(docs: DataFrame, model) -> DataFrame:
             mean, _ = model.value.scorer()(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(mean, pa.float64())], ["y", "mean"])
 
-    return docs.mapInArrow(run, "y int, mean double")
+    return docs.mapInArrow(lean(run), "y int, mean double")
 
 
 def train(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", max_docs: int = MAX_DOCS) -> Model | None:
@@ -242,5 +242,5 @@ def toxicity_scores(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", te
             mean, _ = sent.value.scorer()(batch.column(batch.schema.get_field_index(text)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-np.clip(a * mean + b, -500, 500))), pa.float64())], [*batch.schema.names, into])
 
-    scored, score = df.mapInArrow(run, schema_with(df, **{into: "double"})), F.col(into)
+    scored, score = df.mapInArrow(lean(run), schema_with(df, **{into: "double"})), F.col(into)
     return scored.withColumn(into, F.struct(held.alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted"))).toDF(*names)
