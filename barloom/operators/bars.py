@@ -204,18 +204,12 @@ def chain(feeds: list[DataFrame]) -> DataFrame:
 
 def roll_over(feeds: list[DataFrame], from_dates: list[str]) -> DataFrame:
     """Futures in turn: feed k+1 takes over on the first bar not before from_dates[k] on which its volume is larger."""
-    out, start = None, None
-    current = feeds[0]
-    for k, feed in enumerate(feeds):
-        if k:
-            both = current.select("symbol", "dt", F.col("volume").alias("v0")).join(feed.select("symbol", "dt", F.col("volume").alias("v1")), ["symbol", "dt"])
-            switch = both.where((F.col("dt") >= F.lit(from_dates[k - 1]).cast("timestamp_ntz")) & (F.col("v1") > F.col("v0"))).groupBy("symbol").agg(F.min("dt").alias("_roll"))
-            out = out.join(switch, "symbol", "left").where(F.col("_roll").isNull() | (F.col("dt") < F.col("_roll"))).drop("_roll")
-            feed_on = feed.join(switch, "symbol").where(F.col("dt") >= F.col("_roll")).drop("_roll")
-            out, current, start = out.unionByName(feed_on), feed, switch
-        else:
-            out = feed
-    del start
+    out = current = feeds[0]
+    for feed, date in zip(feeds[1:], from_dates, strict=True):
+        both = current.select("symbol", "dt", F.col("volume").alias("v0")).join(feed.select("symbol", "dt", F.col("volume").alias("v1")), ["symbol", "dt"])
+        switch = both.where((F.col("dt") >= F.lit(date).cast("timestamp_ntz")) & (F.col("v1") > F.col("v0"))).groupBy("symbol").agg(F.min("dt").alias("_roll"))
+        before = out.join(switch, "symbol", "left").where(F.col("_roll").isNull() | (F.col("dt") < F.col("_roll"))).drop("_roll")
+        out, current = before.unionByName(feed.join(switch, "symbol").where(F.col("dt") >= F.col("_roll")).drop("_roll")), feed
     return out
 
 

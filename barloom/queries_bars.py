@@ -56,7 +56,6 @@ def _periods(source: str, unit: str, compression: int, label: str) -> str:
     return _select(f"SELECT * REPLACE ({label} AS dt) FROM ({small})")
 
 
-_END = f"{_DAY} + INTERVAL '23:59:59' HOUR TO SECOND"
 _END = "CAST(date_trunc('day', dt) AS TIMESTAMP) + to_microseconds(86399000000)"
 
 
