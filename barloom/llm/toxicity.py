@@ -1,17 +1,16 @@
-"""Toxicity by class-conditional Kneser-Ney models of words, byte by byte.
+"""Toxicity by class-conditional Kneser-Ney models of whole words that back off to their stems.
 
-Two models, of toxic and of ordinary documents, give every byte of a word its probability after up to `ORDER` - 1 bytes
-before it in the word. Counts of the highest order are occurrences, those of lower orders numbers of distinct bytes in
-front (Kneser-Ney); all are interpolated with absolute discount. Up to `SHARED` bytes the counts of both classes are
-pooled, so that an expression that one class has never seen backs off to the same probabilities as in the other.
+Two models, of toxic and of ordinary documents, give every word its probability. The highest order counts the documents
+that hold the word, the lower one (its first `STEM` bytes) the distinct words of the class that begin so (Kneser-Ney
+continuations); both take off an absolute discount. The weight of the lower order, and the uniform share below it, are the
+same for both classes, so a word that neither class has seen has the difference of its stem, and without a seen stem none.
 
-A document's score is the difference of its two log-likelihoods per word, put through a logistic curve that is
-fitted on labelled documents which the counts have not seen. Differences of a word within `DEAD_ZONE` of 0, which chance
-makes, count as 0 and the others are drawn towards 0 by as much. A word's difference depends on the word alone: it is
-worked out once for every distinct word of a block and kept in a table of bounded size.
+A document's evidence is the sum over its distinct words of the cube of the difference of log-probabilities, over the
+root of their number plus 1: many small differences, which chance makes, stay small beside a few large ones. It is put
+through a logistic curve that is fitted on labelled documents which the counts have not seen.
 
-Counts come from a sample of labelled documents: of each class at most `MAX_DOCS` (those with the least hashed ids), and of their words the `MAX_WORDS` most frequent of at most `MAX_BYTES` bytes; the curve comes from at most
-`MAX_DOCS` more. So the model has a fixed bound and is broadcast. All documents are scored on whole texts.
+Counts come from a sample of labelled documents: of each class at most `MAX_DOCS` (those with the least hashed ids), and
+of their words the `MAX_WORDS` most frequent; the curve comes from at most `MAX_DOCS` more. All documents are scored on whole texts.
 """
 
 from __future__ import annotations
@@ -21,156 +20,61 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import LOWER, Memo, blocks, fingerprints, flat, lean, mix, powers, table_of, words
+from .arrays import LOWER, blocks, fingerprints, flat, lean, table_of, words
 from .common import cut_lineage, numbered, renamed, schema_with
-from .native import letter_words
 
-ORDER, SHARED, DISCOUNT, DEAD_ZONE = 5, 2, 0.75, 4.0
-MAX_DOCS, MAX_WORDS, MAX_BYTES = 6_000, 200_000, 64
+STEM, DISCOUNT, BACKOFF, UNIFORM = 6, 0.75, 16.0, 16.0
+MAX_DOCS, MAX_WORDS = 6_000, 200_000
 _SPLIT = table_of((0x00, 0x2F), (0x3A, 0x60), (0x7B, 0x7F))
 
 
-class _Lookup:
-    """Hash table from 64-bit keys to rows of values; a missing key gives `default`."""
-
-    def __init__(self, keys: np.ndarray, values: np.ndarray, default: np.ndarray):
-        size = 1 << max(4, int(len(keys) * 2).bit_length())
-        self.shift, self.mask = np.uint64(64 - (size.bit_length() - 1)), np.uint64(size - 1)
-        self.keys, self.rows, self.values = np.zeros(size, np.uint64), np.full(size, len(keys), np.int32), np.vstack((values, default)).astype(np.float32)
-        keys = np.where(keys == 0, np.uint64(1), keys)
-        row, slot = np.arange(len(keys)), keys >> self.shift
-        while len(row):
-            free = self.keys[slot] == 0
-            self.keys[slot[free]] = keys[row[free]]
-            mine = self.keys[slot] == keys[row]
-            self.rows[slot[mine]] = row[mine]
-            row, slot = row[~mine], (slot[~mine] + np.uint64(1)) & self.mask
-
-    def __call__(self, keys: np.ndarray) -> np.ndarray:
-        keys = np.where(keys == 0, np.uint64(1), keys)
-        out = np.full(len(keys), len(self.values) - 1, np.int32)
-        at, slot = np.arange(len(keys)), keys >> self.shift
-        while len(at):
-            key = self.keys[slot]
-            hit = key == keys[at]
-            out[at[hit]] = self.rows[slot[hit]]
-            go = ~hit & (key != 0)
-            at, slot = at[go], (slot[go] + np.uint64(1)) & self.mask
-        return self.values[out]
-
-
-def _grams(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The words laid out with a blank before and behind each: the buffer, prefix sums of its hash, each byte's place in
-    its word (the blank in front has 0), and where the words begin."""
-    sizes = ends - starts
-    begin = np.cumsum(sizes + 2) - (sizes + 2)
-    out = np.full(int((sizes + 2).sum()), 32, np.uint8)
-    inner = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    out[np.repeat(begin + 1, sizes) + inner] = data[np.repeat(starts, sizes) + inner]
-    place = np.arange(len(out)) - np.repeat(begin, sizes + 2)
-    p, _ = powers(len(out) + 1)
-    sums = np.zeros(len(out) + 1, np.uint64)
-    np.cumsum((out.astype(np.uint64) + np.uint64(1)) * p[:-1], out=sums[1:])
-    return out, sums, place, begin
-
-
-def _window(sums: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
-    """Hashes of the `size` bytes that end before `at`."""
-    _, inverse = powers(len(sums))
-    return mix((sums[at] - sums[at - size]) * inverse[at - size] + np.uint64(size))
+def _vocabularies(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each block of texts: its range, the fingerprints of its distinct words and of their stems, and as pairs
+    (text, word), each once, which text holds which word."""
+    data, offsets = flat(column)
+    for i, j in blocks(offsets):
+        own = LOWER[data[offsets[i] : offsets[j]]]
+        starts, ends, first = words(own, offsets[i : j + 1] - offsets[i], _SPLIT)
+        distinct, at, row = np.unique(fingerprints(own, starts, ends).view(np.int64), return_index=True, return_inverse=True)
+        stems = fingerprints(own, starts[at], np.minimum(ends[at], starts[at] + STEM)).view(np.int64)
+        pairs = np.unique(np.repeat(np.arange(j - i), np.diff(first)) * max(len(distinct), 1) + row)
+        yield i, j, distinct, stems, pairs // max(len(distinct), 1), pairs % max(len(distinct), 1)
+
+
+def _found(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the wanted are among the sorted keys, and their values."""
+    if not len(keys):
+        return np.zeros(len(wanted), bool), np.zeros(len(wanted))
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return keys[at] == wanted, values[at].astype(np.float64)
 
 
 @dataclass
 class Model:
-    unigram: np.ndarray
-    grams: list[_Lookup]
-    contexts: list[_Lookup]
-    curve: tuple[float, float]
-    _scorer: Scorer | None = None
-
-    @classmethod
-    def fit(cls, texts: list[bytes], counts: np.ndarray) -> Model:
-        """`counts`: how often each word occurs in ordinary and in toxic documents."""
-        data = np.frombuffer(b"".join(texts), np.uint8)
-        ends = np.cumsum([len(x) for x in texts], dtype=np.int64)
-        buffer, sums, place, _ = _grams(data, np.concatenate(([0], ends[:-1])) if len(ends) else ends, ends)
-        word = np.repeat(np.arange(len(texts)), np.array([len(x) for x in texts], np.int64) + 2)
-        grams, contexts, unigram = [], [], np.ones(256)
-        for k in range(1, ORDER + 1):
-            at = np.flatnonzero(place >= max(k - 1, 1))
-            key, context = _window(sums, at + 1, k), _window(sums, at, k - 1) if k > 1 else np.zeros(len(at), np.uint64)
-            whole = (place[at] == k - 1) | (k == ORDER)  # nothing stands in front, or the highest order: occurrences count
-            longer = np.where(whole, np.uint64(0), _window(sums, at + 1, np.where(whole, k, k + 1)) if k > 1 or len(at) else key)
-            by_class = []
-            distinct, first, row = np.unique(key, return_index=True, return_inverse=True)
-            for c in (0, 1):
-                n = counts[word[at], c].astype(np.float64)
-                total = np.bincount(row, n * whole, len(distinct))
-                seen = np.flatnonzero(~whole & (n > 0))
-                _, one = np.unique(longer[seen], return_index=True)
-                by_class.append(total + np.bincount(row[seen[one]], minlength=len(distinct)))
-            if k <= SHARED:
-                by_class = [by_class[0] + by_class[1]] * 2
-            if k == 1:
-                unigram = np.ones(256)
-                np.add.at(unigram, buffer[at[first]], by_class[0])
-                unigram /= unigram.sum()
-                continue
-            own, ctx = np.unique(context[first], return_inverse=True)
-            values, weights = [], []
-            for n in by_class:
-                total, kinds = np.bincount(ctx, n, len(own)), np.bincount(ctx, n > 0, len(own))
-                safe = np.maximum(total, 1e-9)
-                values.append(np.where(n > 0, np.maximum(n - DISCOUNT, 0) / safe[ctx], 0))
-                weights.append(np.where(total > 0, DISCOUNT * kinds / safe, 1))
-            grams.append(_Lookup(distinct, np.array(values).T, np.zeros(2)))
-            contexts.append(_Lookup(own, np.array(weights).T, np.ones(2)))
-        return cls(unigram.astype(np.float32), grams, contexts, (1.0, 0.0))
-
-    def scorer(self) -> Scorer:
-        if self._scorer is None:
-            self._scorer = Scorer(self)
-        return self._scorer
-
-    def words(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """log p(toxic) - log p(ordinary) of each word, less the dead zone."""
-        buffer, sums, place, begin = _grams(data, starts, ends)
-        p = np.repeat(self.unigram[buffer][:, None], 2, 1)
-        for k in range(2, ORDER + 1):
-            at = np.flatnonzero(place >= k - 1)
-            p[at] = self.grams[k - 2](_window(sums, at + 1, k)) + self.contexts[k - 2](_window(sums, at, k - 1)) * p[at]
-        each = np.log(np.maximum(p, 1e-12))
-        each = (each[:, 1] - each[:, 0]) * (place > 0)
-        total = np.add.reduceat(each, begin) if len(begin) else np.zeros(0)
-        return np.sign(total) * np.maximum(np.abs(total) - DEAD_ZONE, 0)
-
-
-class Scorer:
-    """Mean difference per word for texts, and their numbers of words."""
-
-    def __init__(self, model: Model):
-        self.model, self.memo = model, Memo(np.float32)
-
-    def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        data, offsets = flat(column)
-        means, numbers = [], []
-        for i, j in blocks(offsets):
-            own = LOWER[data[offsets[i] : offsets[j]]]
-            starts, ends, first = words(own, offsets[i : j + 1] - offsets[i], _SPLIT)
-            value = self.memo(fingerprints(own, starts, ends), lambda at, d=own, a=starts, b=ends: self.model.words(d, a[at], b[at]))
-            total = np.concatenate(([0], np.cumsum(value, dtype=np.float64)))
-            n = np.diff(first)
-            means.append((total[first[1:]] - total[first[:-1]]) / np.maximum(n, 1))
-            numbers.append(n)
-        return (np.concatenate(means), np.concatenate(numbers)) if means else (np.zeros(0), np.zeros(0, np.int64))
+    """Differences by word and by stem, as sorted arrays."""
+
+    words: tuple[np.ndarray, np.ndarray]
+    stems: tuple[np.ndarray, np.ndarray]
+    curve: tuple[float, float] = (1.0, 0.0)
+
+    def evidence(self, column: pa.Array) -> np.ndarray:
+        out = []
+        for i, j, distinct, stems, text, word in _vocabularies(column):
+            known, value = _found(*self.words, distinct)
+            like, backed = _found(*self.stems, stems)
+            cubes = np.where(known, value, np.where(like, backed, 0)) ** 3
+            n = np.bincount(text, minlength=j - i)
+            out.append(np.bincount(text, cubes[word], j - i) / np.sqrt(n + 1))
+        return np.concatenate(out) if out else np.zeros(0)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and intercept by Newton's method, with a weak pull of the slope to 1."""
-    a, b = 1.0, 0.0
+    """Slope and intercept by Newton's method, with a weak pull of the slope to 1 for evidence of deviation 1."""
+    scale = float(x.std()) or 1.0
+    x, a, b = x / scale, 1.0, 0.0
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
         w = p * (1 - p) + 1e-9
@@ -180,25 +84,54 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
         a, b = a - da, b - db
         if abs(da) + abs(db) < 1e-8:
             break
-    return float(a), float(b)
-
+    return float(a) / scale, float(b)
 
-def _sample(labels: DataFrame, folds: list[int], toxic: int | None, n: int) -> DataFrame:
-    some = labels.where(F.col("fold").isin(folds))
-    return (some if toxic is None else some.where(F.col("y") == toxic)).orderBy(F.xxhash64("label_id"), "label_id").limit(n)
 
+def _counted(docs: DataFrame) -> DataFrame:
+    """(word, stem, ordinary, toxic) of docs (y, text): in how many documents of each class each word stands."""
 
-def _means(docs: DataFrame, model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            mean, _ = model.value.scorer()(batch.column(1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(mean, pa.float64())], ["y", "mean"])
+            y = batch.column(0).to_numpy()
+            for i, j, distinct, stems, text, word in _vocabularies(batch.column(1)):
+                toxic = y[i:j][text] == 1
+                n = [np.bincount(word[mine], minlength=len(distinct)) for mine in (~toxic, toxic)]
+                yield pa.RecordBatch.from_arrays([pa.array(distinct), pa.array(stems), *map(pa.array, n)], ["word", "stem", "ordinary", "toxic"])
+
+    each = docs.select("y", "text").mapInArrow(lean(run), "word long, stem long, ordinary long, toxic long")
+    return each.groupBy("word").agg(F.min("stem").alias("stem"), F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
+
+
+def _differences(counted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(word, value) and (stem, value): log p(toxic) - log p(ordinary)."""
+    kinds = lambda c: F.sum((F.col(c) > 0).cast("long"))
+    n = counted.agg(F.sum("ordinary").alias("n0"), F.sum("toxic").alias("n1"), kinds("ordinary").alias("k0"), kinds("toxic").alias("k1")).first()
+    less = lambda c: F.greatest(F.col(c) - DISCOUNT, F.lit(0.0))
+
+    def q(c: str, k: int) -> Column:
+        return less(c) / F.lit(float(k or 1)) * F.lit((n.k0 + n.k1) / UNIFORM) + 1.0
 
-    return docs.mapInArrow(lean(run), "y int, mean double")
+    stems = counted.groupBy("stem").agg(kinds("ordinary").alias("s0"), kinds("toxic").alias("s1"))
+    stems = stems.select("stem", q("s0", n.k0).alias("q0"), q("s1", n.k1).alias("q1"))
+    share = BACKOFF * 2 / (n.n0 + n.n1)
+    p = lambda c, total, own: less(c) / F.lit(float(total or 1)) + F.lit(share) * F.col(own) / (F.col("q0") + F.col("q1"))
+    value = F.ln(p("toxic", n.n1, "q1")) - F.ln(p("ordinary", n.n0, "q0"))
+    return counted.join(stems, "stem").select("word", value.cast("float").alias("value")), stems.select("stem", F.ln(F.col("q1") / F.col("q0")).cast("float").alias("value"))
 
 
-def train(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", max_docs: int = MAX_DOCS) -> Model | None:
-    """The model from the rows of `labels` whose crc32(doc_id as text) mod 5 is not 0: 2-4 are counted, 1 fits the curve.
+def _sorted(table: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    rows = table.toArrow()
+    key, value = rows[table.columns[0]].to_numpy(), rows["value"].to_numpy()
+    order = np.argsort(key)
+    return key[order], value[order]
+
+
+def _sample(labels: DataFrame, n: int) -> DataFrame:
+    return labels.where("fold = 1").orderBy(F.xxhash64("label_id"), "label_id").limit(n)
+
+
+def train(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", max_docs: int = MAX_DOCS) -> tuple[Model, tuple[DataFrame, DataFrame]] | None:
+    """The model from the rows of `labels` whose crc32(doc_id as text) mod 5 is not 0: 2-4 are counted, 1 fits the curve; and its tables.
 
     Null labels and ids are left out; an id that is labelled twice is toxic if either label is. None if a class is missing.
     """
@@ -209,15 +142,25 @@ def train(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     if not sizes.get(0) or not sizes.get(1):
         return None
     docs = renamed(df, id=doc_id, text=text)
-    picked = F.broadcast(_sample(known, [2, 3, 4], 0, max_docs).unionByName(_sample(known, [2, 3, 4], 1, max_docs)))
-    found = docs.join(picked, docs["id"] == picked["label_id"]).select("y", F.explode(letter_words(F.col("text"))).alias("word")).where(F.octet_length("word") <= MAX_BYTES)
-    counts = found.groupBy("word").agg(F.sum(1 - F.col("y")).alias("ordinary"), F.sum("y").alias("toxic")).orderBy((F.col("ordinary") + F.col("toxic")).desc(), "word").limit(MAX_WORDS).toArrow()
-    model = Model.fit([w.encode() for w in counts["word"].to_pylist()], np.column_stack((counts["ordinary"].to_numpy(), counts["toxic"].to_numpy())).astype(np.float64))
-    picked = F.broadcast(_sample(known, [1], None, max_docs))
-    seen = _means(docs.join(picked, docs["id"] == picked["label_id"]).select("y", "text"), df.sparkSession.sparkContext.broadcast(model)).toArrow()
+    counts = known.where("fold >= 2")
+    least = lambda y: counts.where(F.col("y") == y).orderBy(F.xxhash64("label_id"), "label_id").limit(max_docs)
+    picked = F.broadcast(least(0).unionByName(least(1)))
+    counted = _counted(docs.join(picked, F.col("id") == F.col("label_id"))).orderBy((F.col("ordinary") + F.col("toxic")).desc(), "word").limit(MAX_WORDS)
+    counted = cut_lineage(counted)
+    tables = tuple(cut_lineage(x) for x in _differences(counted))
+    model = Model(_sorted(tables[0]), _sorted(tables[1]))
+    picked = F.broadcast(_sample(known, max_docs))
+    some = docs.join(picked, docs["id"] == picked["label_id"]).select("y", "text")
+    sent = df.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sent.value.evidence(batch.column(1)), pa.float64())], ["y", "evidence"])
+
+    seen = some.mapInArrow(lean(run), "y int, evidence double").toArrow()
     if seen.num_rows:
-        model.curve = _logistic(seen["mean"].to_numpy(), seen["y"].to_numpy())
-    return model
+        model.curve = _logistic(seen["evidence"].to_numpy(), seen["y"].to_numpy())
+    return model, tables
 
 
 def toxicity_scores(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", into: str = "toxicity", max_docs: int = MAX_DOCS) -> DataFrame:
@@ -227,20 +170,22 @@ def toxicity_scores(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", te
     evidence; without labelled documents of both classes all scores are 0. Words are `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`
     with A-Z lower-cased. A column called like `into` is replaced; others, and repeated rows, stay.
     """
-    model = train(df, labels, doc_id, text, label, max_docs)
+    trained = train(df, labels, doc_id, text, label, max_docs)
     number = df.columns.index(doc_id)
     df, names, text = numbered(df, into, text)
     into = "result"
     held = F.pmod(F.crc32(F.col(f"c{number}").cast("string")), F.lit(5)) == 0
-    if model is None:
+    if trained is None:
         return df.withColumn(into, F.struct(held.alias("held_out"), F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))).toDF(*names)
+    model, _ = trained
     sent = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = sent.value.curve
         for batch in batches:
-            mean, _ = sent.value.scorer()(batch.column(batch.schema.get_field_index(text)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-np.clip(a * mean + b, -500, 500))), pa.float64())], [*batch.schema.names, into])
+            x = sent.value.evidence(batch.column(batch.schema.get_field_index(text)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-np.clip(a * x + b, -500, 500))), pa.float64())], [*batch.schema.names, into])
 
-    scored, score = df.mapInArrow(lean(run), schema_with(df, **{into: "double"})), F.col(into)
+    scored = df.mapInArrow(lean(run), schema_with(df, **{into: "double"}))
+    score = F.col(into)
     return scored.withColumn(into, F.struct(held.alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted"))).toDF(*names)
