@@ -9,8 +9,10 @@ A document's evidence is the sum over its distinct words of the cube of the diff
 root of their number plus 1: many small differences, which chance makes, stay small beside a few large ones. It is put
 through a logistic curve that is fitted on labelled documents which the counts have not seen.
 
-Counts come from a sample of labelled documents: of each class at most `MAX_DOCS` (those with the least hashed ids), and
-of their words the `MAX_WORDS` most frequent; the curve comes from at most `MAX_DOCS` more. All documents are scored on whole texts.
+Counts come from all labelled documents outside the held-out fold and the curve's fold, and all of their words. A table
+of at most `BROADCAST_WORDS` words is broadcast; a larger one is joined to the words of the documents by shuffles. Labels
+are broadcast up to `BROADCAST_LABELS` and joined by a shuffle beyond. Only the two numbers of the curve come from a sample, of at most
+`MAX_DOCS` documents (those with the least hashed ids). All documents are scored on whole texts.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from .arrays import LOWER, blocks, fingerprints, flat, lean, table_of, words
 from .common import cut_lineage, numbered, renamed, schema_with
 
 STEM, DISCOUNT, BACKOFF, UNIFORM = 6, 0.75, 16.0, 16.0
-MAX_DOCS, MAX_WORDS = 6_000, 200_000
+MAX_DOCS, BROADCAST_WORDS, BROADCAST_LABELS = 6_000, 4_000_000, 1_000_000
 _SPLIT = table_of((0x00, 0x2F), (0x3A, 0x60), (0x7B, 0x7F))
 
 
@@ -54,10 +56,10 @@ def _found(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> tuple[np
 
 @dataclass
 class Model:
-    """Differences by word and by stem, as sorted arrays."""
+    """Differences by word and by stem, as sorted arrays; or, without arrays, only in the tables."""
 
-    words: tuple[np.ndarray, np.ndarray]
-    stems: tuple[np.ndarray, np.ndarray]
+    words: tuple[np.ndarray, np.ndarray] | None
+    stems: tuple[np.ndarray, np.ndarray] | None
     curve: tuple[float, float] = (1.0, 0.0)
 
     def evidence(self, column: pa.Array) -> np.ndarray:
@@ -126,11 +128,30 @@ def _sorted(table: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return key[order], value[order]
 
 
+def _evidence(docs: DataFrame, tables: tuple[DataFrame, DataFrame]) -> DataFrame:
+    """(key, print, evidence) of docs (key, print, text), both longs that tell texts apart, by shuffles: for texts with words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, distinct, stems, text, word in _vocabularies(batch.column(2)):
+                yield pa.RecordBatch.from_arrays([*(c.slice(i, j - i).take(pa.array(text)) for c in batch.columns[:2]), pa.array(distinct[word]), pa.array(stems[word])], ["key", "print", "word", "stem"])
+
+    pairs = docs.mapInArrow(lean(run), "key long, print long, word long, stem long").distinct()
+    one, two = tables[0].withColumnRenamed("value", "own"), tables[1].withColumnRenamed("value", "backed")
+    value = F.coalesce("own", "backed", F.lit(0.0)).cast("double")
+    met = pairs.join(one, "word", "left").join(two, "stem", "left")
+    return met.groupBy("key", "print").agg((F.sum(value * value * value) / F.sqrt(F.count("*") + 1)).alias("evidence"))
+
+
+def _prints(text: Column) -> list[Column]:
+    return [F.xxhash64(text), F.xxhash64(F.lit(1), text)]
+
+
 def _sample(labels: DataFrame, n: int) -> DataFrame:
     return labels.where("fold = 1").orderBy(F.xxhash64("label_id"), "label_id").limit(n)
 
 
-def train(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", max_docs: int = MAX_DOCS) -> tuple[Model, tuple[DataFrame, DataFrame]] | None:
+def train(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", max_docs: int = MAX_DOCS, broadcast_words: int = BROADCAST_WORDS) -> tuple[Model, tuple[DataFrame, DataFrame]] | None:
     """The model from the rows of `labels` whose crc32(doc_id as text) mod 5 is not 0: 2-4 are counted, 1 fits the curve; and its tables.
 
     Null labels and ids are left out; an id that is labelled twice is toxic if either label is. None if a class is missing.
@@ -143,49 +164,59 @@ def train(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         return None
     docs = renamed(df, id=doc_id, text=text)
     counts = known.where("fold >= 2")
-    least = lambda y: counts.where(F.col("y") == y).orderBy(F.xxhash64("label_id"), "label_id").limit(max_docs)
-    picked = F.broadcast(least(0).unionByName(least(1)))
-    counted = _counted(docs.join(picked, F.col("id") == F.col("label_id"))).orderBy((F.col("ordinary") + F.col("toxic")).desc(), "word").limit(MAX_WORDS)
-    counted = cut_lineage(counted)
+    picked = F.broadcast(counts) if sum(sizes.values()) <= BROADCAST_LABELS else counts
+    counted = cut_lineage(_counted(docs.join(picked, F.col("id") == F.col("label_id"))))
     tables = tuple(cut_lineage(x) for x in _differences(counted))
-    model = Model(_sorted(tables[0]), _sorted(tables[1]))
+    small = counted.count() <= broadcast_words
+    model = Model(_sorted(tables[0]), _sorted(tables[1])) if small else Model(None, None)
     picked = F.broadcast(_sample(known, max_docs))
     some = docs.join(picked, docs["id"] == picked["label_id"]).select("y", "text")
-    sent = df.sparkSession.sparkContext.broadcast(model)
+    if model.words is None:
+        keyed = some.select("y", *(c.alias(n) for c, n in zip(_prints(F.col("text")), ("key", "print"), strict=True)), "text")
+        seen = keyed.drop("text").join(_evidence(keyed.drop("y"), tables), ["key", "print"], "left").select("y", F.coalesce("evidence", F.lit(0.0)).alias("evidence")).toArrow()
+    else:
+        sent = df.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sent.value.evidence(batch.column(1)), pa.float64())], ["y", "evidence"])
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sent.value.evidence(batch.column(1)), pa.float64())], ["y", "evidence"])
 
-    seen = some.mapInArrow(lean(run), "y int, evidence double").toArrow()
+        seen = some.mapInArrow(lean(run), "y int, evidence double").toArrow()
     if seen.num_rows:
         model.curve = _logistic(seen["evidence"].to_numpy(), seen["y"].to_numpy())
     return model, tables
 
 
-def toxicity_scores(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", into: str = "toxicity", max_docs: int = MAX_DOCS) -> DataFrame:
+def toxicity_scores(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", into: str = "toxicity", max_docs: int = MAX_DOCS, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
     """All columns of `df` and a struct `into`: held_out (crc32 of the id as text is 0 mod 5; null for a null id), score, predicted.
 
     score is from 0 to 1, higher for toxic; it depends on the text alone. Null and empty texts get the curve's value for no
     evidence; without labelled documents of both classes all scores are 0. Words are `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`
     with A-Z lower-cased. A column called like `into` is replaced; others, and repeated rows, stay.
     """
-    trained = train(df, labels, doc_id, text, label, max_docs)
+    trained = train(df, labels, doc_id, text, label, max_docs, broadcast_words)
     number = df.columns.index(doc_id)
     df, names, text = numbered(df, into, text)
     into = "result"
     held = F.pmod(F.crc32(F.col(f"c{number}").cast("string")), F.lit(5)) == 0
     if trained is None:
         return df.withColumn(into, F.struct(held.alias("held_out"), F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))).toDF(*names)
-    model, _ = trained
-    sent = df.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = sent.value.curve
-        for batch in batches:
-            x = sent.value.evidence(batch.column(batch.schema.get_field_index(text)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-np.clip(a * x + b, -500, 500))), pa.float64())], [*batch.schema.names, into])
-
-    scored = df.mapInArrow(lean(run), schema_with(df, **{into: "double"}))
+    model, tables = trained
+    if model.words is None:
+        a, b = model.curve
+        keyed = df.withColumns(dict(zip(("key", "print"), _prints(F.coalesce(F.col(text), F.lit(""))), strict=True)))
+        found = _evidence(keyed.select("key", "print", text), tables)
+        logit = F.lit(a) * F.coalesce("evidence", F.lit(0.0)) + F.lit(b)
+        scored = keyed.join(found, ["key", "print"], "left").select(*df.columns, (1 / (1 + F.exp(-F.greatest(F.least(logit, F.lit(500.0)), F.lit(-500.0))))).alias(into))
+    else:
+        sent = df.sparkSession.sparkContext.broadcast(model)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            a, b = sent.value.curve
+            for batch in batches:
+                x = sent.value.evidence(batch.column(batch.schema.get_field_index(text)))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-np.clip(a * x + b, -500, 500))), pa.float64())], [*batch.schema.names, into])
+
+        scored = df.mapInArrow(lean(run), schema_with(df, **{into: "double"}))
     score = F.col(into)
     return scored.withColumn(into, F.struct(held.alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted"))).toDF(*names)

@@ -27,3 +27,15 @@ def test_toxic_words_of_common_syllables(spark):
     held = toxicity.toxicity_scores(docs, labels).where("toxicity.held_out").select("doc_id", "toxicity.predicted").collect()
     assert sum(r.predicted for r in held if r.doc_id % 3 == 0) >= 0.9 * sum(r.doc_id % 3 == 0 for r in held)
     assert sum(r.predicted for r in held if r.doc_id % 3) <= 0.02 * sum(r.doc_id % 3 > 0 for r in held)
+
+
+def test_toxicity_counts_all_labels(spark, monkeypatch):
+    docs, labels = toxic_table(spark)
+    score = lambda **options: {r.doc_id: (r.toxicity.score, r.toxicity.held_out) for r in toxicity.toxicity_scores(docs, labels, **options).collect()}
+    few = {d: s for d, (s, held) in score(max_docs=10).items() if held}  # the curve is poor, but the order of documents isn't
+    toxic, ordinary = ([s for d, s in few.items() if (d % 3 == 0) == bad] for bad in (True, False))
+    assert sum(s > max(ordinary) for s in toxic) >= 0.8 * len(toxic)
+    whole = score()
+    monkeypatch.setattr(toxicity, "BROADCAST_LABELS", 0)
+    joined = score(broadcast_words=0)
+    assert whole.keys() == joined.keys() and all(abs(whole[d][0] - joined[d][0]) < 1e-6 for d in whole)
