@@ -11,7 +11,7 @@
 5. Confirmed links make components. A star can miss a link between two members that aren't like its centre; so the
    candidate stars, confirmed or not, are joined into families (two documents that share a band are in one family). In
    a family of several components every document outside the largest is held against all others, in blocks of bounded
-   size: first by 504-bit sketches of the signatures, then, for the few documents that pass with anyone, on full sets.
+   size: first by 32 bits of every band, which keep each pair that shares a band, then all of these pairs on full sets.
    A block returns a spanning forest of the links it finds, so rows stay in proportion to documents.
 """
 
@@ -31,8 +31,6 @@ from .graph import components
 
 BANDS, ROWS = 42, 3
 BINS = BANDS * ROWS
-#: Bits in which two sketches may differ: a pair of similarity 0.75 has 63 on average, with a deviation of 11.
-SKETCH_BITS = 108
 #: Documents on either side of a block.
 BLOCK_ROWS = 2000
 _SALT = np.uint64(0xA24BAED4963EE407)
@@ -67,9 +65,9 @@ def shingle_sets(column: pa.Array, width: int) -> list[np.ndarray]:
 
 
 def signature(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The band hashes of a sorted set, and its sketch: 4 bits of every bin's value. None for an empty set."""
+    """The band hashes of a sorted set, and its sketch: 32 bits of each of them. None for an empty set."""
     if not len(hashes):
-        return hashes, hashes
+        return hashes, hashes.astype(np.uint32)
     bins = ((hashes >> np.uint64(32)) * np.uint64(BINS) >> np.uint64(32)).astype(np.int64)
     firsts = np.flatnonzero(np.diff(bins, prepend=-1))
     values, full = np.zeros(BINS, np.uint64), np.zeros(BINS, bool)
@@ -83,10 +81,8 @@ def signature(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         values[empty[ok]] = values[probes[ok, found[ok].argmax(1)]]
         empty, width = empty[~ok], width * 8
     lanes = mix(values.reshape(BANDS, ROWS) + np.arange(1, ROWS + 1, dtype=np.uint64) * _SALT)
-    nibbles = np.zeros(-(-BINS // 16) * 16, np.uint64)
-    nibbles[:BINS] = mix(values ^ _SALT) & np.uint64(15)
-    sketch = np.bitwise_or.reduce(nibbles.reshape(-1, 16) << np.arange(0, 64, 4, dtype=np.uint64), axis=1)
-    return mix(lanes.sum(1, dtype=np.uint64) ^ np.arange(BANDS, dtype=np.uint64) * _SALT), sketch
+    bands = mix(lanes.sum(1, dtype=np.uint64) ^ np.arange(BANDS, dtype=np.uint64) * _SALT)
+    return bands, bands.astype(np.uint32)
 
 
 def _signatures(docs: DataFrame, width: int) -> DataFrame:
@@ -179,7 +175,7 @@ def _across(classes: DataFrame, families: DataFrame, found: DataFrame, sets: Dat
 
 def _blocks(rows: DataFrame, percent: int, links: bool) -> DataFrame:
     """Holds the odd rows of every family against all of its rows. With links: links (a, b), a spanning forest for each
-    block; without: (a, null) for every row whose sketch is near that of a row in another component."""
+    block; without: (a, null) for every row that shares a band with a row in another component."""
     i, j = F.pmod(F.xxhash64("rep"), F.ceil(F.col("odds") / BLOCK_ROWS)).cast("int"), F.pmod(F.xxhash64("rep", F.lit(1)), F.ceil(F.col("all") / BLOCK_ROWS)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), (F.ceil(F.col(n) / BLOCK_ROWS) - 1).cast("int")))
     columns = ["family", "rep", "component", "n", "sketch", "hashes"]
@@ -188,7 +184,7 @@ def _blocks(rows: DataFrame, percent: int, links: bool) -> DataFrame:
 
     def hold(t: pa.Table) -> pa.Table:
         odd = t["odd"].to_numpy()
-        sketch = np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint64).reshape(t.num_rows, -1)
+        sketch = np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint32).reshape(t.num_rows, -1)
         rep, component, n = t["rep"].to_numpy(), t["component"].to_numpy(), t["n"].to_numpy()
         x, y = np.flatnonzero(odd), np.flatnonzero(~odd)
         sets = [np.frombuffer(v, np.uint64) for v in t["hashes"].to_pylist()] if links else []
@@ -202,7 +198,7 @@ def _blocks(rows: DataFrame, percent: int, links: bool) -> DataFrame:
         out, some = [], [np.zeros(0, np.int64)]
         for k in x.tolist():
             ok = (component[y] != component[k]) & (100 * np.minimum(n[y], n[k]) >= percent * np.maximum(n[y], n[k]))
-            ok[ok] = np.bitwise_count(sketch[y[ok]] ^ sketch[k]).sum(1) <= SKETCH_BITS
+            ok[ok] = (sketch[y[ok]] == sketch[k]).any(1)
             near = y[ok]
             if not links:
                 some += [rep[near], rep[[k]]] if len(near) else []

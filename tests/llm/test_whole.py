@@ -2,7 +2,9 @@
 
 import random
 
-from barloom.llm import toxicity
+import numpy as np
+
+from barloom.llm import near_dedup, toxicity
 
 
 def toxic_table(spark, n=1200, seed=5):
@@ -39,3 +41,16 @@ def test_toxicity_counts_all_labels(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "BROADCAST_LABELS", 0)
     joined = score(broadcast_words=0)
     assert whole.keys() == joined.keys() and all(abs(whole[d][0] - joined[d][0]) < 1e-6 for d in whole)
+
+
+def test_second_pass_refuses_no_pair_that_shares_a_band(spark):
+    """Pairs of 3 and 4 shingles, similarity 0.75, both off the largest component of a family: the exact check sees them all."""
+    r, rows, pairs = np.random.default_rng(2), [], 1500
+    for k in range(pairs):
+        big = np.unique(r.integers(1, 1 << 63, 4, dtype=np.uint64))
+        small = np.delete(big, r.integers(4))
+        for rep, s in ((2 * k, big), (2 * k + 1, small)):
+            rows.append((k, rep, rep, len(s), near_dedup.signature(s)[1].tobytes(), rep == 2 * k, s.tobytes(), 1, 2))
+    df = spark.createDataFrame(rows, "family long, rep long, component long, n long, sketch binary, odd boolean, hashes binary, odds long, all long")
+    shares = sum(bool(set(near_dedup.signature(np.frombuffer(a[6], np.uint64))[0].tolist()) & set(near_dedup.signature(np.frombuffer(b[6], np.uint64))[0].tolist())) for a, b in zip(rows[::2], rows[1::2], strict=True))
+    assert near_dedup._blocks(df, 75, links=True).count() == shares == pairs
