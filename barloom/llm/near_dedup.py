@@ -10,9 +10,10 @@
 4. Pairs are confirmed on full sets: a table of the sets of bucketed documents is joined to both sides.
 5. Confirmed links make components. A star can miss a link between two members that aren't like its centre; so the
    candidate stars, confirmed or not, are joined into families (two documents that share a band are in one family). In
-   a family of several components every document outside the largest is held against all others, in blocks of bounded
-   size: first by 32 bits of every band, which keep each pair that shares a band, then all of these pairs on full sets.
-   A block returns a spanning forest of the links it finds, so rows stay in proportion to documents.
+   a family of several components a shingle is foreign to a document if another component has it too. A link between
+   components needs `percent` of a document's shingles to be foreign, so documents with fewer drop out, which is exact,
+   and shrinks the others' foreign shingles in turn. Those that are left are held against each other on full sets, in
+   blocks of bounded size; a block returns a spanning forest of its links, so rows stay in proportion to documents.
 """
 
 from __future__ import annotations
@@ -31,8 +32,10 @@ from .graph import components
 
 BANDS, ROWS = 42, 3
 BINS = BANDS * ROWS
-#: Documents on either side of a block.
-BLOCK_ROWS = 2000
+#: Shingles on either side of a block, and in one chunk of documents or range of hashes.
+BLOCK_SHINGLES = 1 << 20
+#: Families (an id each) that are broadcast; more of them are joined by a shuffle.
+BROADCAST_FAMILIES = 1_000_000
 _SALT = np.uint64(0xA24BAED4963EE407)
 
 
@@ -64,10 +67,10 @@ def shingle_sets(column: pa.Array, width: int) -> list[np.ndarray]:
     return out
 
 
-def signature(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The band hashes of a sorted set, and its sketch: 32 bits of each of them. None for an empty set."""
+def signature(hashes: np.ndarray) -> np.ndarray:
+    """The band hashes of a sorted set; none for an empty set."""
     if not len(hashes):
-        return hashes, hashes.astype(np.uint32)
+        return hashes
     bins = ((hashes >> np.uint64(32)) * np.uint64(BINS) >> np.uint64(32)).astype(np.int64)
     firsts = np.flatnonzero(np.diff(bins, prepend=-1))
     values, full = np.zeros(BINS, np.uint64), np.zeros(BINS, bool)
@@ -81,34 +84,39 @@ def signature(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         values[empty[ok]] = values[probes[ok, found[ok].argmax(1)]]
         empty, width = empty[~ok], width * 8
     lanes = mix(values.reshape(BANDS, ROWS) + np.arange(1, ROWS + 1, dtype=np.uint64) * _SALT)
-    bands = mix(lanes.sum(1, dtype=np.uint64) ^ np.arange(BANDS, dtype=np.uint64) * _SALT)
-    return bands, bands.astype(np.uint32)
+    return mix(lanes.sum(1, dtype=np.uint64) ^ np.arange(BANDS, dtype=np.uint64) * _SALT)
+
+
+def _prints(sets: list[np.ndarray]) -> np.ndarray:
+    """Two sums of each set's hashes, which tell sets apart."""
+    return np.array([[mix(s).sum(dtype=np.uint64), mix(s * _SALT + np.uint64(7)).sum(dtype=np.uint64)] for s in sets], np.uint64).reshape(-1, 2).astype(np.int64)
 
 
 def _signatures(docs: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (whole.slice(i, j - i) for whole in batches for i, j in blocks(flat(whole.column(1))[1], 1 << 22)):
             sets = shingle_sets(batch.column(1), width)
-            two = np.array([[mix(s).sum(dtype=np.uint64), mix(s * _SALT + np.uint64(7)).sum(dtype=np.uint64)] for s in sets], np.uint64).reshape(-1, 2).astype(np.int64)
-            signed = [signature(s) for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(two[:, 0]), pa.array(two[:, 1]), int_lists([b for b, _ in signed], np.int64), pa.array([x.tobytes() for _, x in signed], pa.binary())], ["id", "n", "f1", "f2", "bands", "sketch"])
+            two = _prints(sets)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(two[:, 0]), pa.array(two[:, 1]), int_lists([signature(s) for s in sets], np.int64)], ["id", "n", "f1", "f2", "bands"])
 
-    return docs.mapInArrow(lean(run), "id long, n long, f1 long, f2 long, bands array<long>, sketch binary")
+    return docs.mapInArrow(lean(run), "id long, n long, f1 long, f2 long, bands array<long>")
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
+    """(id, print, hashes) of docs (id, text): print is the f1 of the signatures."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             _, ends = flat(batch.column(1))
             for i, j in blocks(ends, 1 << 22):
-                sets = [s.tobytes() for s in shingle_sets(batch.column(1).slice(i, j - i), width)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(sets, pa.binary())], ["id", "hashes"])
+                sets = shingle_sets(batch.column(1).slice(i, j - i), width)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(_prints(sets)[:, 0]), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "print", "hashes"])
 
-    return docs.mapInArrow(lean(run), "id long, hashes binary")
+    return docs.mapInArrow(lean(run), "id long, print long, hashes binary")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of the pairs (a, b) those whose sets have 100 * intersection >= percent * union."""
+    """Of the pairs (a, pa, b, pb: ids and prints) those whose sets have 100 * intersection >= percent * union."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -121,8 +129,9 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             kept = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(kept), batch.column(1).filter(kept)], ["a", "b"])
 
-    one, two = sets.select(F.col("id").alias("a"), F.col("hashes").alias("x")), sets.select(F.col("id").alias("b"), F.col("hashes").alias("y"))
-    return pairs.select("a", "b").join(two, "b").join(one, "a").select("a", "b", "x", "y").mapInArrow(lean(run), "a long, b long")
+    one = sets.select(F.col("id").alias("a"), F.col("print").alias("pa"), F.col("hashes").alias("x"))
+    two = sets.select(F.col("id").alias("b"), F.col("print").alias("pb"), F.col("hashes").alias("y"))
+    return pairs.select("a", "pa", "b", "pb").join(two, ["b", "pb"]).join(one, ["a", "pa"]).select("a", "b", "x", "y").mapInArrow(lean(run), "a long, b long").distinct()
 
 
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 75) -> DataFrame:
@@ -137,17 +146,16 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     docs = renamed(df, id=doc_id, text=text)
     signed = cut_lineage(_signatures(docs, width))
     real = signed.where("n > 0 and id is not null")
-    classes = real.groupBy("f1", "f2").agg(F.min("id").alias("rep"), F.min_by(F.struct("bands", "sketch"), "id").alias("s"), F.min("n").alias("n"), F.count("*").alias("copies"))
-    classes = cut_lineage(classes)
-    banded = classes.select("rep", "n", F.explode("s.bands").alias("band"))
-    full = banded.groupBy("band").agg(F.min(F.struct("rep", "n")).alias("least"), F.count("*").alias("members")).where("members > 1")
-    starred = banded.join(full, "band").select("rep", "n", F.col("least.rep").alias("centre"), F.col("least.n").alias("centre_n"))
-    stars = cut_lineage(starred.where("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b"), F.col("centre_n").alias("x"), F.col("n").alias("y")).distinct())
+    classes = cut_lineage(real.groupBy("f1", "f2").agg(F.min("id").alias("rep"), F.min_by("bands", "id").alias("bands"), F.min("n").alias("n")))
+    banded = classes.select("rep", "f1", "n", F.explode("bands").alias("band"))
+    full = banded.groupBy("band").agg(F.min(F.struct("rep", "n", "f1")).alias("least"), F.count("*").alias("members")).where("members > 1")
+    starred = banded.join(full, "band").where(F.col("rep") != F.col("least.rep"))
+    stars = cut_lineage(starred.select(F.col("least.rep").alias("a"), F.col("least.f1").alias("pa"), F.col("rep").alias("b"), F.col("f1").alias("pb"), F.col("least.n").alias("x"), F.col("n").alias("y")).distinct())
     families = cut_lineage(components(stars))
-    bucketed = docs.join(families.select(F.col("node").alias("id")), "id", "left_semi").groupBy("id").agg(F.max("text").alias("text"))
-    sets = cut_lineage(_sets(bucketed, width))
-    pairs = stars.where(100 * F.least("x", "y") >= percent * F.greatest("x", "y")).select("a", "b")
-    links = cut_lineage(_confirmed(pairs, sets, percent))
+    bucketed = docs.join(families.select(F.col("node").alias("id")), "id", "left_semi").groupBy("id", F.xxhash64("text").alias("own")).agg(F.max("text").alias("text"))
+    sets = cut_lineage(_sets(bucketed.select("id", "text"), width))
+    pairs = stars.where(100 * F.least("x", "y") >= percent * F.greatest("x", "y"))
+    links = cut_lineage(_same_id(real, classes).unionByName(_confirmed(pairs, sets, percent)))
     found = cut_lineage(components(links))
     more = cut_lineage(_across(classes, families, found, sets, percent))
     if not more.isEmpty():
@@ -158,65 +166,110 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     return rows.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
 
+def _same_id(real: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (a, b) between an id that rows of unlike texts share and the representatives of their classes."""
+    several = real.groupBy("id").agg(F.min("f1").alias("low"), F.max("f1").alias("high")).where("low <> high").select("id")
+    rows = real.join(several, "id", "left_semi").select("id", "f1", "f2").distinct()
+    return rows.join(classes.select("f1", "f2", "rep"), ["f1", "f2"]).select(F.col("id").alias("a"), F.col("rep").alias("b"))
+
+
 def _across(classes: DataFrame, families: DataFrame, found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between components of one family, enough of them to join all components that links join."""
-    placed = families.select(F.col("node").alias("rep"), F.col("component").alias("family")).join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    placed = placed.select("family", "rep", F.coalesce("component", "rep").alias("component"))
-    sizes = placed.groupBy("family", "component").agg(F.count("*").alias("size"))
-    largest = sizes.groupBy("family").agg(F.max_by("component", F.struct("size", "component")).alias("largest"), F.count("*").alias("parts"), F.sum("size").alias("all"), F.max("size").alias("most"))
-    rows = placed.join(largest.where("parts > 1 and all > 2"), "family").join(classes.select("rep", "n", F.col("s.sketch").alias("sketch")), "rep")
-    rows = cut_lineage(rows.select("family", "rep", "component", "n", "sketch", (F.col("component") != F.col("largest")).alias("odd"), (F.col("all") - F.col("most")).alias("odds"), "all"))
-    near = cut_lineage(_blocks(rows.withColumn("hashes", F.lit(None).cast("binary")), percent, links=False).select(F.col("a").alias("rep")).distinct())
-    counted = rows.join(near, "rep", "left_semi")
-    counts = counted.groupBy("family").agg(F.sum(F.col("odd").cast("long")).alias("odds"), F.count("*").alias("all"))
-    counted = counted.drop("odds", "all").join(counts, "family").join(sets.withColumnRenamed("id", "rep"), "rep")
-    return _blocks(counted, percent, links=True)
-
-
-def _blocks(rows: DataFrame, percent: int, links: bool) -> DataFrame:
-    """Holds the odd rows of every family against all of its rows. With links: links (a, b), a spanning forest for each
-    block; without: (a, null) for every row that shares a band with a row in another component."""
-    i, j = F.pmod(F.xxhash64("rep"), F.ceil(F.col("odds") / BLOCK_ROWS)).cast("int"), F.pmod(F.xxhash64("rep", F.lit(1)), F.ceil(F.col("all") / BLOCK_ROWS)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), (F.ceil(F.col(n) / BLOCK_ROWS) - 1).cast("int")))
-    columns = ["family", "rep", "component", "n", "sketch", "hashes"]
-    left = rows.where("odd").select(*columns, F.lit(True).alias("odd"), i.alias("i"), every("all").alias("j"))
-    right = rows.where("odds > 0").select(*columns, F.lit(False).alias("odd"), j.alias("j"), every("odds").alias("i"))
+    placed = classes.select("rep", F.col("f1").alias("print"), "n").join(families.select(F.col("node").alias("rep"), F.col("component").alias("family")), "rep")
+    placed = placed.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    split = cut_lineage(placed.groupBy("family").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("family"))
+    some = F.broadcast(split) if split.count() <= BROADCAST_FAMILIES else split
+    rows = placed.join(some, "family", "left_semi").join(sets.withColumnRenamed("id", "rep"), ["rep", "print"])
+    rows = cut_lineage(rows.select("family", "rep", "component", "n", "hashes"))
+    for _ in range(2):
+        rows = cut_lineage(_with_foreign(rows, percent))
+    return _blocks(rows, percent)
+
+
+def _with_foreign(rows: DataFrame, percent: int) -> DataFrame:
+    """The rows of which at least `percent` of the shingles stand in another component of the family too.
+
+    Rows are dealt into chunks; a chunk sends each shingle of a family once, with the least and greatest component that
+    has it, by ranges of its hash, and hears which of its shingles have several.
+    """
+    total = (rows.agg(F.sum("n")).first()[0] or 0) // BLOCK_SHINGLES + 1
+    bits = (2 * total).bit_length()
+    dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("rep", "n"), F.lit(total)))
+    keys = lambda t: np.concatenate([mix(np.frombuffer(h, np.uint64) ^ mix(np.full(1, f, np.int64).view(np.uint64))) for h, f in zip(t["hashes"].to_pylist(), t["family"].to_pylist(), strict=True)])
+
+    def least_and_most(key: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        order = np.argsort(key, kind="stable")
+        first = np.flatnonzero(np.concatenate(([True], key[order][1:] != key[order][:-1])))
+        return key[order][first], np.minimum.reduceat(low[order], first), np.maximum.reduceat(high[order], first)
+
+    def send(t: pa.Table) -> pa.Table:
+        own = np.repeat(t["component"].to_numpy(), t["n"].to_numpy())
+        key, low, high = least_and_most(keys(t), own, own)
+        edge = np.searchsorted(key, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
+        edge = np.append(edge, len(key))
+        full = np.flatnonzero(np.diff(edge)).tolist()
+        cut = lambda x: pa.array([x[edge[k] : edge[k + 1]].tobytes() for k in full], pa.binary())
+        return pa.table({"chunk": pa.array([t["chunk"][0].as_py()] * len(full), pa.int64()), "place": pa.array(full, pa.int32()), "keys": cut(key), "low": cut(low), "high": cut(high)})
+
+    def meet(t: pa.Table) -> pa.Table:
+        parts = [np.frombuffer(x, np.uint64) for x in t["keys"].to_pylist()]
+        low, high = (np.frombuffer(b"".join(t[c].to_pylist()), np.int64) for c in ("low", "high"))
+        key, low, high = least_and_most(np.concatenate(parts), low, high)
+        key = key[low != high]
+        met = [np.intersect1d(x, key, assume_unique=True).tobytes() for x in parts]
+        return pa.table({"chunk": t["chunk"], "keys": pa.array(met, pa.binary())})
+
+    def keep(t: pa.Table, told: pa.Table) -> pa.Table:
+        names = [c for c in t.column_names if c != "chunk"]
+        if not t.num_rows:
+            return t.select(names)
+        n = t["n"].to_numpy()
+        foreign = np.add.reduceat(np.isin(keys(t), np.frombuffer(b"".join(told["keys"].to_pylist()), np.uint64)).astype(np.int64), np.cumsum(n) - n)
+        return t.select(names).filter(pa.array(100 * foreign >= percent * n))
+
+    sent = dealt.groupBy("chunk").applyInArrow(send, "chunk long, place int, keys binary, low binary, high binary")
+    told = sent.groupBy("place").applyInArrow(meet, "chunk long, keys binary")
+    return dealt.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(keep, rows.schema)
+
+
+def _blocks(rows: DataFrame, percent: int) -> DataFrame:
+    """Holds the odd rows of every family (those outside its largest component) against all of its rows: links (a, b), a
+    spanning forest of the components for each block."""
+    sizes = rows.groupBy("family", "component").agg(F.sum("n").alias("size"))
+    sizes = cut_lineage(sizes.groupBy("family").agg(F.max_by("component", F.struct("size", "component")).alias("largest"), F.sum("size").alias("all"), F.max("size").alias("most")).where("most < all"))
+    some = F.broadcast(sizes) if sizes.count() <= BROADCAST_FAMILIES // 4 else sizes
+    count = lambda c: F.floor(c / BLOCK_SHINGLES).cast("int") + 1
+    rows = rows.join(some, "family").withColumns({"odd": F.col("component") != F.col("largest"), "down": count(F.col("all") - F.col("most")), "right": count(F.col("all"))})
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda n, seed: F.pmod(F.xxhash64("rep", "n", F.lit(seed)), F.col(n)).cast("int")
+    columns = ["family", "rep", "component", "n", "hashes"]
+    left = rows.where("odd").select(*columns, "odd", own("down", 0).alias("i"), every("right").alias("j"))
+    right = rows.select(*columns, F.lit(False).alias("odd"), own("right", 1).alias("j"), every("down").alias("i"))
 
     def hold(t: pa.Table) -> pa.Table:
-        odd = t["odd"].to_numpy()
-        sketch = np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint32).reshape(t.num_rows, -1)
-        rep, component, n = t["rep"].to_numpy(), t["component"].to_numpy(), t["n"].to_numpy()
-        x, y = np.flatnonzero(odd), np.flatnonzero(~odd)
-        sets = [np.frombuffer(v, np.uint64) for v in t["hashes"].to_pylist()] if links else []
-        root: dict[int, int] = {}
+        rep, component, n, odd = (t[c].to_numpy() for c in ("rep", "component", "n", "odd"))
+        sets = [np.frombuffer(v, np.uint64) for v in t["hashes"].to_pylist()]
+        distinct, number = np.unique(np.concatenate(sets), return_inverse=True)
+        edge = np.cumsum(n) - n
+        y = np.flatnonzero(~odd)
+        theirs = np.concatenate([number[edge[q] : edge[q] + n[q]] for q in y]) if len(y) else number[:0]
+        begin, mark, root, out = np.cumsum(n[y]) - n[y], np.zeros(len(distinct), bool), {}, []
 
         def top(v: int) -> int:
             while root.get(v, v) != v:
                 v = root[v] = root.get(root[v], root[v])
             return v
 
-        out, some = [], [np.zeros(0, np.int64)]
-        for k in x.tolist():
-            ok = (component[y] != component[k]) & (100 * np.minimum(n[y], n[k]) >= percent * np.maximum(n[y], n[k]))
-            ok[ok] = (sketch[y[ok]] == sketch[k]).any(1)
-            near = y[ok]
-            if not links:
-                some += [rep[near], rep[[k]]] if len(near) else []
-                continue
-            own = top(int(component[k]))
-            near = [q for q in near.tolist() if top(int(component[q])) != own]
-            if not near:
-                continue
-            mine, theirs = sets[k], np.concatenate([sets[q] for q in near])
-            same = mine[np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)] == theirs
-            common = np.add.reduceat(same.astype(np.int64), np.cumsum([0, *(len(sets[q]) for q in near[:-1])]))
-            for q, both in zip(near, common.tolist(), strict=True):
-                if 100 * both >= percent * (len(mine) + len(sets[q]) - both) and top(int(component[k])) != top(int(component[q])):
-                    root[top(int(component[k]))] = top(int(component[q]))
+        for k in np.flatnonzero(odd).tolist() if len(y) else []:
+            mine = number[edge[k] : edge[k] + n[k]]
+            mark[mine] = True
+            both = np.add.reduceat(mark[theirs], begin, dtype=np.int64)
+            mark[mine] = False
+            for q in y[(100 * both >= percent * (n[k] + n[y] - both)) & (component[y] != component[k])].tolist():
+                one, two = top(int(component[k])), top(int(component[q]))
+                if one != two:
+                    root[one] = two
                     out.append((int(rep[k]), int(rep[q])))
-        if not links:
-            found = np.unique(np.concatenate(some))
-            return pa.table({"a": pa.array(found, pa.int64()), "b": pa.nulls(len(found), pa.int64())})
         return pa.table({"a": pa.array([p for p, _ in out], pa.int64()), "b": pa.array([q for _, q in out], pa.int64())})
 
     return left.unionByName(right).groupBy("family", "i", "j").applyInArrow(hold, "a long, b long")
