@@ -14,9 +14,12 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 #: Texts are worked on in blocks of about so many bytes, which bounds the temporary arrays.
 BLOCK = 1 << 20
+#: Bytes of a word up to which the polynomial tells words apart; modulo 2**64 it fails for some very long ones (Thue-Morse words).
+LONG_WORD = 64
 _BASE = 0x9E3779B97F4A7C15
 
 
@@ -90,11 +93,14 @@ def words(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = WHITE)
 
 
 def fingerprints(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit fingerprint of each word's bytes."""
+    """A 64-bit fingerprint of each word's bytes: a polynomial, or of words over `LONG_WORD` bytes a hash of their own."""
     p, inverse = powers(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_BYTE[data] * p[:-1], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * inverse[starts])
+    out = mix((sums[ends] - sums[starts]) * inverse[starts])
+    for k in np.flatnonzero(ends - starts > LONG_WORD).tolist():
+        out[k] = xxhash.xxh3_64_intdigest(data[starts[k] : ends[k]])
+    return out
 
 
 def windows(prints: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:

@@ -3,7 +3,8 @@
 A chunk is a blank and what follows it up to the next blank or line feed; a line feed is a chunk of its own. In a text
 without two white-space characters in a row a byte-level BPE tokenizer of the usual pattern cuts at all of these places,
 so chunks have the same ids everywhere. Other texts, and those with an added token, are given to the tokenizer whole.
-Chunks are told apart by 64-bit fingerprints of their bytes.
+Chunks are found by 64-bit fingerprints, and the bytes of a chunk that is found are compared with those that the table
+keeps; a text with a chunk that differs from the one of the same fingerprint is given to the tokenizer whole.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ class ChunkTable:
     def _clear(self) -> None:
         self.keys, self.rows, self.n = np.zeros(self.slots, np.uint64), np.zeros(self.slots, np.int32), 0
         self.starts, self.sizes = np.zeros(self.slots // 2 + 1, np.int64), np.zeros(self.slots // 2, np.int32)
-        self.ids = np.zeros(1 << 16, np.uint32)
+        self.ids, self.bytes, self.begins = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.uint8), np.zeros(self.slots // 2 + 1, np.int64)
 
     def _find(self, prints: np.ndarray) -> np.ndarray:
         """The row of each fingerprint; -1 where there is none."""
@@ -45,12 +46,15 @@ class ChunkTable:
             at, slot = at[go], (slot[go] + np.uint64(1)) & np.uint64(self.slots - 1)
         return out
 
-    def _add(self, prints: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
-        rows, begin = np.arange(self.n, self.n + len(prints), dtype=np.int32), self.starts[self.n]
-        if begin + len(ids) > len(self.ids):
-            self.ids = np.concatenate((self.ids[:begin], np.zeros(max(len(ids), len(self.ids)), np.uint32)))
-        self.ids[begin : begin + len(ids)] = ids
-        self.starts[self.n + 1 : self.n + 1 + len(prints)] = begin + np.cumsum(sizes)
+    def _add(self, prints: np.ndarray, ids: np.ndarray, sizes: np.ndarray, chunks: list[bytes]) -> None:
+        rows, raw = np.arange(self.n, self.n + len(prints), dtype=np.int32), np.frombuffer(b"".join(chunks), np.uint8)
+        for name, new, edges, lengths in (("ids", ids, self.starts, sizes), ("bytes", raw, self.begins, np.array([len(c) for c in chunks]))):
+            kept, begin = getattr(self, name), edges[self.n]
+            if begin + len(new) > len(kept):
+                kept = np.concatenate((kept[:begin], np.zeros(max(len(new), len(kept)), kept.dtype)))
+                setattr(self, name, kept)
+            kept[begin : begin + len(new)] = new
+            edges[self.n + 1 : self.n + 1 + len(prints)] = begin + np.cumsum(lengths)
         self.sizes[rows] = sizes
         self.n += len(prints)
         slot = prints >> self.shift
@@ -61,6 +65,18 @@ class ChunkTable:
             self.rows[slot[mine]] = rows[mine]
             rows, prints, slot = rows[~mine], prints[~mine], (slot[~mine] + np.uint64(1)) & np.uint64(self.slots - 1)
 
+    def _unlike(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, begin: np.ndarray, kept: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Places of the chunks whose bytes aren't those at `begin` in `kept`, `sizes` of them."""
+        size = ends - starts
+        out = size != sizes
+        at = np.flatnonzero(~out & (size > 0))
+        if len(at):
+            edge = np.cumsum(size[at]) - size[at]
+            shift = np.arange(edge[-1] + size[at[-1]]) - np.repeat(edge, size[at])
+            same = data[np.repeat(starts[at], size[at]) + shift] == kept[np.repeat(begin[at], size[at]) + shift]
+            out[at] = ~np.logical_and.reduceat(same, edge)
+        return np.flatnonzero(out)
+
     def __call__(self, data: np.ndarray, offsets: np.ndarray, added: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of all texts, where each one's begin, and which texts must be encoded whole (those have no ids here)."""
         texts, n = len(offsets) - 1, len(data)
@@ -99,12 +115,18 @@ class ChunkTable:
                 distinct, first = np.unique(prints, return_index=True)
                 miss = np.arange(len(prints))
             at = miss[first]
-            order, ids, sizes = self.encode_all([raw[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
+            chunks = [raw[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
+            order, ids, sizes = self.encode_all(chunks)
             if len(distinct) > self.slots // 2:  # a block with more chunks than the table holds
-                row = np.argsort(order)[np.searchsorted(distinct, prints)]
+                one = np.searchsorted(distinct, prints)
+                row, lengths = np.argsort(order)[one], (ends - starts)[at]
+                bad = self._unlike(data, starts, ends, starts[at][one], data, lengths[one])
+                whole[text_of(starts[bad])] = True
                 return self._spread(ids, (np.cumsum(sizes) - sizes)[row], sizes[row], starts, offsets, whole)
-            self._add(distinct[order], ids, sizes)
+            self._add(distinct[order], ids, sizes, [chunks[k] for k in order.tolist()])
             rows[miss] = self._find(prints[miss])
+        bad = self._unlike(data, starts, ends, self.begins[rows], self.bytes, self.begins[rows + 1] - self.begins[rows])
+        whole[text_of(starts[bad])] = True
         return self._spread(self.ids, self.starts[rows], self.sizes[rows], starts, offsets, whole)
 
     @staticmethod

@@ -6,8 +6,10 @@
 3. Each range of hashes, of bounded size, reports to every chunk which of its hashes other chunks have as well.
 4. Each chunk joins those with the windows it holds twice itself; covered words are merged into maximal intervals.
 
-Only 8 bytes a window are shuffled, and the texts once: both uses of the chunks read the same exchange.
-Windows are told apart by 64-bit hashes: among n distinct windows about n*n / 2**65 pairs are mistaken for each other.
+Only 8 bytes a window are shuffled, and the texts once: both uses of the chunks read the same exchange. The range is taken
+from a second, independent hash, so windows are told apart by 64 bits and those of the range, whose number grows with the
+input: of n distinct windows about n*n / 2**(65 + bits) pairs are mistaken for each other, under 1 even among the 10**13
+windows of 100 TB (24 bits). Each word's own hash has 64 bits, of words over 64 bytes by another function.
 """
 
 from __future__ import annotations
@@ -19,26 +21,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import blocks, fingerprints, flat, windows, words
+from .arrays import blocks, fingerprints, flat, mix, windows, words
 from .common import fresh, numbered, renamed, row_hash, schema_with, total_bytes
 
 CHUNK_BYTES = 4 << 20
 BUCKET_WINDOWS = 1 << 20
+_OTHER = np.uint64(0x6A09E667F3BCC909)
 
 
-def _hashed(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of all texts: index of each one's first word, starts of the windows (in words), their hashes."""
-    firsts, starts, hashes, n = [np.zeros(1, np.int64)], [], [], 0
+def _hashed(data: np.ndarray, offsets: np.ndarray, width: int, bits: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of all texts: index of each one's first word, starts of the windows (in words), their hashes, and with `bits` their ranges."""
+    firsts, starts, hashes, ranges, n = [np.zeros(1, np.int64)], [], [], [], 0
     for i, j in blocks(offsets):
         own, cut = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
         a, b, first = words(own, cut)
-        at, h = windows(fingerprints(own, a, b), first, width)
+        prints = fingerprints(own, a, b)
+        at, h = windows(prints, first, width)
+        if bits:
+            ranges.append((windows(mix(prints ^ _OTHER), first, width)[1] >> np.uint64(64 - bits)).astype(np.int32))
         starts.append(at + n)
         hashes.append(h)
         firsts.append(first[1:] + n)
         n += len(a)
     join = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
-    return np.concatenate(firsts), join(starts, np.int64), join(hashes, np.uint64)
+    return np.concatenate(firsts), join(starts, np.int64), join(hashes, np.uint64), join(ranges, np.int32)
 
 
 def remove_repeated_passages(df: DataFrame, text: str = "text", width: int = 35, into: str = "passages") -> DataFrame:
@@ -55,13 +61,14 @@ def remove_repeated_passages(df: DataFrame, text: str = "text", width: int = 35,
     chunk, size = fresh(df, "chunk"), total_bytes(renamed(df, t=text), "t")
     chunks = max(1, -(-size // CHUNK_BYTES))
     bits = max(1, (size // 6 // BUCKET_WINDOWS).bit_length())
-    dealt = df.withColumn(chunk, F.pmod(row_hash(df), F.lit(chunks)))
+    dealt = df.withColumn(chunk, F.pmod(F.xxhash64(row_hash(df), F.spark_partition_id()), F.lit(chunks)))  # equal rows of a large table don't meet in one chunk
 
     def send(t: pa.Table) -> pa.Table:
-        _, _, h = _hashed(*flat(t[text]), width)
-        h = np.unique(h)
-        edge = np.searchsorted(h, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
-        edge = np.append(edge, len(h))
+        _, _, h, place = _hashed(*flat(t[text]), width, bits)
+        h, first = np.unique(h, return_index=True)
+        order = np.argsort(place[first], kind="stable")
+        h = h[order]
+        edge = np.searchsorted(place[first][order], np.arange((1 << bits) + 1))
         full = np.flatnonzero(np.diff(edge))
         return pa.table({"chunk": np.full(len(full), t[chunk][0].as_py()), "bucket": full.astype(np.int32), "hashes": pa.array([h[edge[k] : edge[k + 1]].tobytes() for k in full], pa.binary())})
 
@@ -81,7 +88,7 @@ def remove_repeated_passages(df: DataFrame, text: str = "text", width: int = 35,
         if not t.num_rows:
             return pa.table({c: pa.array([], t[c].type) for c in t.column_names if c != chunk} | {into: pa.array([], kind)})
         data, offsets = flat(t[text])
-        first, at, h = _hashed(data, offsets, width)
+        first, at, h, _ = _hashed(data, offsets, width)
         own, times = np.unique(h, return_counts=True)
         known = np.unique(np.concatenate([own[times > 1], *(np.frombuffer(x, np.uint64) for x in elsewhere["hashes"].to_pylist())]))
         edge = np.zeros(first[-1] + 1, np.int32)
