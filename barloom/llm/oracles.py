@@ -53,17 +53,17 @@ def licence_scan() -> str:
     from .licences import RARE, SHARE, _entries
 
     listed = lambda x: "[" + ", ".join(f"'{w}'" for w in x) + "]"
-    rows = ", ".join(f"('{e['label']}', {str(e['base']).upper()}, {listed(e['words'])}, {listed(e['key'])}, {e['key_at']})" for e in _entries())
+    rows = ", ".join(f"({e['entry']}, '{e['label']}', {str(e['base']).upper()}, {listed(e['words'])}, {listed(e['key'])}, {e['key_at']})" for e in _entries())
     return f"""
 WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, {_words("text", _LETTERS, True)} AS w FROM documents),
-e(label, base, words, key, key_at) AS (VALUES {rows}),
-t AS MATERIALIZED (SELECT label, base, key, key_at, i - 1 AS off, words[i] AS word FROM (SELECT *, unnest(generate_series(1, len(words))) AS i FROM e)),
+e(entry, label, base, words, key, key_at) AS (VALUES {rows}),
+t AS MATERIALIZED (SELECT entry, label, base, key, key_at, i - 1 AS off, words[i] AS word FROM (SELECT *, unnest(generate_series(1, len(words))) AS i FROM e)),
 f AS (SELECT word, count(*) AS n FROM (SELECT unnest(list_distinct(w)) AS word FROM d) WHERE word IN (SELECT word FROM t) GROUP BY word),
 k AS (SELECT t.*, ln(((SELECT count(*) FROM d) + 1.0::DOUBLE) / (coalesce(f.n, 0) + 1.0::DOUBLE)) AS idf FROM t LEFT JOIN f USING (word)),
-b AS MATERIALIZED (SELECT *, sum(idf) OVER (PARTITION BY label) AS total FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY idf DESC, word, off) AS rk FROM k) WHERE rk <= CASE WHEN base THEN 1 ELSE {RARE} END),
+b AS MATERIALIZED (SELECT *, sum(idf) OVER (PARTITION BY entry) AS total, count(*) OVER (PARTITION BY entry) AS parts FROM (SELECT *, row_number() OVER (PARTITION BY entry ORDER BY idf DESC, word, off) AS rk FROM k) WHERE rk <= CASE WHEN base THEN 1 ELSE {RARE} END),
 x AS MATERIALIZED (SELECT d.r, d.i - 1 AS place, d.w, b.* FROM (SELECT *, unnest(generate_series(1, len(w))) AS i FROM d) d JOIN b ON b.word = d.w[d.i]),
-m AS (SELECT r, label, base, place - off AS start, word, max(CASE WHEN total > 0 THEN idf / total ELSE 1.0::DOUBLE / {RARE} END) AS part FROM x WHERE place - off >= 0 AND list_slice(w, place - off + key_at + 1, place - off + key_at + len(key)) = key GROUP BY ALL),
-a AS (SELECT r, label, base, start, round(sum(part), 9) AS share FROM m GROUP BY ALL HAVING base OR round(sum(part), 9) >= {SHARE}),
+m AS (SELECT r, entry, label, base, place - off AS start, off, max(CASE WHEN total > 0 THEN idf / total ELSE 1.0::DOUBLE / parts END) AS part FROM x WHERE place - off + key_at >= 0 AND list_slice(w, place - off + key_at + 1, place - off + key_at + len(key)) = key GROUP BY ALL),
+a AS (SELECT r, entry, label, base, start, round(sum(part), 9) AS share FROM m GROUP BY ALL HAVING base OR round(sum(part), 9) >= {SHARE}),
 g AS (SELECT r, count(*) FILTER (base) AS n_base, min(start) FILTER (base) AS first_word, max(start) FILTER (base) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(least(share, 1.0::DOUBLE)) AS score FROM a GROUP BY r)
 SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(g.n_base, 0)::BIGINT AS n_base, g.first_word::BIGINT AS first_word, g.last_word::BIGINT AS last_word, coalesce(g.base_labels, '') AS base_labels, coalesce(g.labels, '') AS labels, coalesce(g.score, 0)::DOUBLE AS score
 FROM d LEFT JOIN g ON g.r = d.r"""
