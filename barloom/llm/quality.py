@@ -2,9 +2,9 @@
 
 Words and pairs of adjacent words are hashed into a fixed number of buckets. Two multinomials over the buckets are
 counted in one pass: of all documents, and of the trusted ones. A document's score is the mean over its n-grams of
-log p(trusted) - log p(raw); every document is held against the same threshold. Corpus counts use all documents; only
-the trusted ones are a sample of at most `MAX_TRUSTED` (those with the least hashed ids), so that their ids can be
-broadcast with a bound. The bucket weights are a fixed number of doubles and reach the scoring plan as a scalar subquery.
+log p(trusted) - log p(raw); every document is held against the same threshold. Both sides count all of their documents.
+The trusted ids are broadcast up to `BROADCAST_IDS` and joined by a shuffle beyond. The bucket weights are a fixed number
+of doubles and reach the scoring plan as a scalar subquery.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from .native import plain_words
 
 BUCKETS = 1 << 14
 THRESHOLD = -0.1
-MAX_TRUSTED = 50_000
+BROADCAST_IDS = 1_000_000
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, MAX_REPEAT_PERCENT, REPEAT_WINDOW = 10, 20, 5
 
@@ -41,8 +41,8 @@ def bucket_weights(df: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", te
     `trusted` has one column of ids. An empty corpus or no trusted documents give weights of 0 (equal shares).
     """
     docs = renamed(df, id=doc_id, text=text)
-    ids = trusted.toDF("good").where("good is not null").distinct().orderBy(F.xxhash64("good"), "good").limit(MAX_TRUSTED)
-    marked = docs.join(F.broadcast(ids), F.col("id") == F.col("good"), "left")
+    ids = trusted.toDF("good").where("good is not null").distinct()
+    marked = docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, F.col("id") == F.col("good"), "left")
     grams = marked.select(F.col("good").isNotNull().cast("long").alias("in_trusted"), F.explode(_ngrams(plain_words(F.col("text")), buckets)).alias("bucket"))
     counts = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("in_trusted").alias("target"))
     every = df.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket"))
