@@ -1,7 +1,6 @@
 """Every operator against brute force on small made-up tables, with nulls, empty and long texts, ties and clashing names."""
 
 import collections
-import hashlib
 import itertools
 import random
 import re
@@ -265,9 +264,5 @@ def test_pipeline(spark, small, tmp_path):
         stage(spark, left, small).write.parquet(f"file://{tmp_path}/{name}")
         left = spark.read.parquet(f"file://{tmp_path}/{name}")
         assert left.columns == docs.columns and left.where("n_chars <> char_length(text)").count() == 0
-    texts = [words(r.text) for r in left.collect()]
-    seen = collections.Counter(tuple(w[k : k + 35]) for w in texts for k in range(len(w) - 34))
-    assert not [k for k, n in seen.items() if n > 1 and False]
     out = corpus_pipeline.STAGES[-1][1](spark, left, small)
     assert out.count() == left.count() and out.where("NOT round_trip").count() == 0
-    assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
