@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barloom.plans.ordered import carried_forward
+
 
 def as_of(left: DataFrame, right: DataFrame, keys: list[str], on: str = "dt", columns: list[str] | None = None, inclusive: bool = True) -> DataFrame:
     """Every row of `left` with the given columns of the last row of `right` at or before its time (before it, if not inclusive).
@@ -32,15 +34,15 @@ def _struct(df: DataFrame, keys: list[str], on: str):
 
 
 def merge_feeds(feeds: dict[str, DataFrame], value: str = "close", on: str = "dt") -> DataFrame:
-    """A row for every time that any feed has, with each feed's value as of then: one union, one window."""
+    """A row for every time that any feed has, with each feed's value as of then; the series is worked on in ranges of time."""
     marked = [f.select(on, *(F.col(value).cast("double").alias(n) if n == name else F.lit(None).cast("double").alias(n) for n in feeds)) for name, f in feeds.items()]
     rows = reduce(DataFrame.unionByName, marked).groupBy(on).agg(*(F.max(n).alias(n) for n in feeds))
-    w = Window.orderBy(on).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return rows.select(on, *(F.last(n, ignorenulls=True).over(w).alias(n) for n in feeds))
+    return carried_forward(rows, on, list(feeds))
 
 
 def merge_symbols(bars: DataFrame, group: Column, value: str = "close", on: str = "dt") -> DataFrame:
-    """Long form of `merge_feeds` for any number of symbols: every symbol's value as of every time of its group."""
+    """Long form of `merge_feeds` for any number of symbols: every symbol's value as of every time of its group, so the result
+    has (times x symbols) rows for each group; groups of symbols that trade together keep it in proportion."""
     times = bars.select(group.alias("grp"), on).distinct()
     symbols = bars.select(group.alias("grp"), "symbol").distinct()
     grid = times.join(symbols, "grp")

@@ -8,6 +8,7 @@ written once as SQL (see barloom.plans.sql). Periods: 'day', 'week', 'month', 'y
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from barloom.plans.sql import spark_sql
 
@@ -133,3 +134,16 @@ def positions_value(positions: DataFrame, symbols: list[str]) -> DataFrame:
 def pyfolio(equity: DataFrame, executions: DataFrame, positions: DataFrame, symbols: list[str]) -> dict[str, DataFrame]:
     """returns, positions, transactions and gross_lev of a run."""
     return {"returns": analyze(TIME_RETURN("day"), equity=equity), "positions": positions_value(positions, symbols), "transactions": analyze(TRANSACTIONS, executions=executions), "gross_lev": analyze(LEVERAGE, equity=equity)}
+
+
+def order_observer(orders: DataFrame) -> DataFrame:
+    """symbol, dt, created, expired for every buying order: the bar on which it was made, its price then, and whether it expired."""
+    from barloom.operators.broker import BUY
+
+    return orders.where(F.col("side") == BUY).select("symbol", F.col("created").alias("dt"), F.col("price").alias("created"), (F.col("status") == "Expired").alias("expired"))
+
+
+def trades_by(trades: DataFrame, column: str, values: list, stem: str) -> DataFrame:
+    """symbol, dt and a column for each of `values`: outcomes of the trades closed then whose `column` has the value."""
+    mine = lambda v: F.sum(F.when(F.col(column) == v, F.col("pnlcomm"))).alias(f"{stem}_{v}")
+    return trades.where("dtclose IS NOT NULL").groupBy("symbol", F.col("dtclose").alias("dt")).agg(*map(mine, values))

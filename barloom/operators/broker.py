@@ -1,19 +1,25 @@
 """Strategy simulation: orders, fills, cash, positions, trades and equity, bar by bar for every run.
 
-A run is a key (symbol and parameter set). Its bars come in order through sorted partitions, and what is kept is the
-account's state, never the series; runs are independent and go in parallel. A strategy is a Python class with
-`next(broker, bar)`; indicators are columns that lines have added to the bars before. One pass gives one table of events,
-which `orders`, `trades` and `equity` split.
-
-Within a bar: cash flows, interest, pending orders in the order they were made, futures' daily settlement, then the
-strategy. An order made on one bar can be filled on the next at the earliest, unless the broker cheats on the close.
+A run is a key (symbol and parameter set, or an account of several symbols that share its cash). Its bars come in order
+through sorted partitions, and what is kept is the account's state, never the series; runs are independent and go in
+parallel. A strategy is a Python class with `next(broker, bar)`; indicators are columns that lines have added to the bars
+before. One pass gives one table of events, which `orders`, `trades` and `equity` split.
+
+Within a bar: `next_open` if the broker cheats on the open, orders handed in on the bar before (accepted or refused in
+turn, as if each had been filled at the price it was made at), interest, historical orders, pending orders in the order
+they were made, futures' daily settlement, then the strategy. An order made on one bar can be filled on the next at the
+earliest, unless the broker cheats.
+
+Besides `next`, a strategy may have: `prenext` (called instead while a column named in its `needs` is null), `nextstart`
+(instead of the first `next`), `next_open`, `notify_order`, `notify_trade`, `notify_cashvalue`, `notify_fund`, `notify_timer`
+(for every boolean column named in its `timers` that is true), `start` and `stop`.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
-from datetime import datetime, timedelta
+from datetime import date, datetime, timedelta
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -83,7 +89,7 @@ class Position:
         before, after = self.size, self.size + size
         if before * size >= 0:
             opened, closed = size, 0.0
-            self.price = (self.price * before + price * size) / after if after else 0.0
+            self.price = price if not before else (self.price * before + price * size) / after if after else 0.0
         elif before * after >= 0:
             opened, closed = 0.0, size
             self.price = self.price if after else 0.0
@@ -107,6 +113,8 @@ class Trade:
     baropen: int = 0
     barclose: int = 0
     tradeid: int = 0
+    symbol: str | None = None
+    history: list[dict] | None = None
 
     @property
     def pnlcomm(self) -> float:
@@ -121,6 +129,20 @@ class Trade:
         self.size, self.pnl, self.commission = after, self.pnl + pnl, self.commission + commission
         if not after:
             self.dtclose, self.barclose = dt, bar
+        if self.history is not None:
+            self.history.append({"status": "Closed" if self.dtclose else "Open", "dt": dt, "size": self.size, "price": self.price, "pnl": self.pnl, "pnlcomm": self.pnlcomm, "barlen": bar - self.baropen})
+
+
+@dataclass
+class Book:
+    """What an account knows of one symbol."""
+
+    position: Position = field(default_factory=Position)
+    trade: Trade | None = None
+    settled: float | None = None
+    bar: dict | None = None
+    bars: int = 0
+    day: date | None = None
 
 
 @dataclass
@@ -148,6 +170,12 @@ class Order:
     executed: datetime | None = None
     triggered: bool = False
     waits: bool = False
+    symbol: str | None = None
+    bits: list[dict] = field(default_factory=list)
+
+    @property
+    def alive(self) -> bool:
+        return self.status in ("Submitted", "Accepted", "Partial")
 
     def follow(self, price: float) -> None:
         """Moves a trailing stop, and its limit by as much, towards the price; never away from it."""
@@ -205,7 +233,12 @@ def bar_points(minmov: float | None = None, perc: float = 100.0) -> Callable:
 
 
 def stake(n: float = 1, tranches: int = 1) -> Callable:
-    return lambda broker, bar, side: n // tranches if tranches > 1 else n
+    return lambda broker, bar, side: abs(int(n / tranches)) if tranches > 1 else n
+
+
+def target_stake(n: float = 1, tranches: int = 1) -> Callable:
+    """A position to aim at, for `target_size`: n, or one tranche more than is held."""
+    return lambda broker, bar, side: min(broker.position.size + abs(int(n / tranches)), n) if tranches > 1 else n
 
 
 def reverser(n: float = 1) -> Callable:
@@ -228,13 +261,23 @@ def cash_share(perc: float = 0.2) -> Callable:
     return lambda broker, bar, side: perc * broker.cash / bar["close"]
 
 
+def by_side(n: float = 1) -> Callable:
+    """Twice as much for a sale."""
+    return lambda broker, bar, side: n if side == BUY else 2 * n
+
+
 def long_only(n: float = 1) -> Callable:
     return lambda broker, bar, side: n if side == BUY or broker.position.size > 0 else 0
 
 
 @dataclass
 class Broker:
-    """One account with one position; see `simulate` for the parameters."""
+    """One account: cash, and a position for every symbol that it trades.
+
+    `symbol` is the one that orders, sizers and `position` mean by default: that of the bar, in an account of several symbols the
+    one set last. `commissions` has those of single symbols. `order_history` lists (dt, size, price[, symbol]), orders that are
+    filled as given; `fund_history` lists (dt, share value, net asset value), which are reported from then on.
+    """
 
     cash: float = 10_000.0
     commission: Commission = field(default_factory=Commission)
@@ -245,33 +288,74 @@ class Broker:
     cheat_on_close: bool = False
     cheat_on_open: bool = False
     fund_start: float = 100.0
+    commissions: dict[str, Commission] = field(default_factory=dict)
+    order_history: list[tuple] = field(default_factory=list)
+    fund_history: list[tuple] = field(default_factory=list)
+    trade_history: bool = False
 
     def __post_init__(self):
-        self.position, self.pending, self.finished, self.trade, self.closed_trades = Position(), [], [], None, []
-        self.refs = self.trades = self.bars = 0
-        self.settled = self.last_dt = None
-        self.fund_shares = self.cash / self.fund_start
+        self.books: dict[str | None, Book] = {}
+        self.symbol = None
+        self.submitted, self.pending, self.finished, self.closed_trades, self.histories = [], [], [], [], []
+        self.refs = self.trades = 0
+        self.fund_shares, self.fund_now = self.cash / self.fund_start, None
         self.executions: list[dict] = []
+        self.told: list[Order] = []
+        self.old_orders, self.old_funds = sorted(self.order_history, key=lambda x: x[0]), sorted(self.fund_history, key=lambda x: x[0])
+
+    def book(self, symbol: str | None = None) -> Book:
+        name = self.symbol if symbol is None else symbol
+        found = self.books.get(name)
+        if found is None:
+            found = self.books[name] = Book()
+        return found
+
+    @property
+    def position(self) -> Position:
+        return self.book().position
+
+    @property
+    def bar(self) -> dict:
+        return self.book().bar
+
+    @property
+    def bars(self) -> int:
+        return self.book().bars
+
+    @property
+    def trade(self) -> Trade | None:
+        return self.book().trade
+
+    def on(self, symbol: str) -> Broker:
+        """The same account, whose orders, sizers and position mean this symbol from now on."""
+        self.symbol = symbol
+        return self
+
+    def terms(self, symbol: str | None = None) -> Commission:
+        return self.commissions.get(self.symbol if symbol is None else symbol, self.commission) if self.commissions else self.commission
 
     # Orders
 
-    def order(self, side: int, size: float | None = None, kind: str = MARKET, price: float | None = None, limit: float | None = None, trail: float | None = None, trail_percent: float | None = None, valid: datetime | timedelta | None = None, oco: Order | None = None, parent: Order | None = None, tradeid: int = 0) -> Order | None:
-        size = self.sizer(self, self.bar, side) if size is None else size
+    def order(self, side: int, size: float | None = None, kind: str = MARKET, price: float | None = None, limit: float | None = None, trail: float | None = None, trail_percent: float | None = None, valid: datetime | timedelta | None = None, oco: Order | None = None, parent: Order | None = None, tradeid: int = 0, symbol: str | None = None) -> Order | None:
+        if symbol is not None:
+            self.symbol = symbol
+        bar = self.bar
+        size = self.sizer(self, bar, side) if size is None else size
         if not size:
             return None
         self.refs += 1
-        now, close = self.bar["dt"], self.bar["close"]
+        now, close = bar["dt"], bar["close"]
         until = now + valid if isinstance(valid, timedelta) else valid
-        o = Order(self.refs, side, abs(size), kind, price, limit, trail, trail_percent, until, oco.ref if oco else None, parent.ref if parent else None, now, close, tradeid, left=abs(size), waits=parent is not None and parent.status != "Completed")
+        o = Order(self.refs, side, abs(size), kind, price, limit, trail, trail_percent, until, oco.ref if oco else None, parent.ref if parent else None, now, close, tradeid, left=abs(size), waits=parent is not None and parent.status != "Completed", symbol=self.symbol)
         if kind in (STOP_TRAIL, STOP_TRAIL_LIMIT):
             start = close if price is None else price
             o.price = start + side * (trail if trail is not None else start * (trail_percent or 0.0)) if price is None else price
-        if self.check_submit and kind != HISTORICAL and not self._affords(o):
-            o.status = "Margin"
-            self.finished.append(o)
-            return o
-        o.status = "Accepted"
-        self.pending.append(o)
+        if self.check_submit and kind != HISTORICAL:
+            self.submitted.append(o)
+        else:
+            o.status = "Accepted"
+            self.pending.append(o)
+        self.told.append(o)
         return o
 
     def buy(self, size: float | None = None, **more) -> Order | None:
@@ -297,8 +381,8 @@ class Broker:
 
     def target_value(self, value: float, **more) -> Order | None:
         price = self.bar["close"]
-        now = self.commission.value(self.position.size, price)
-        n = self.commission.affordable(abs(value - now), price)
+        now = self.terms().value(self.position.size, price)
+        n = self.terms().affordable(abs(value - now), price)
         return self.order(BUY if value > now else SELL, n, **more) if n else None
 
     def target_percent(self, share: float, **more) -> Order | None:
@@ -309,6 +393,7 @@ class Broker:
             self.pending.remove(o)
             o.status = status
             self.finished.append(o)
+            self.told.append(o)
             self._ended(o)
 
     def _ended(self, o: Order) -> None:
@@ -320,13 +405,34 @@ class Broker:
             for x in [x for x in self.pending if x.parent == o.ref]:
                 self.cancel(x)
 
-    def _affords(self, o: Order) -> bool:
-        size, price = self.position.size, o.created_price if o.price is None else o.price
-        opens = max(0.0, o.size - abs(size)) if size * o.side < 0 else o.size
-        if not opens or o.waits:
-            return True
-        back = self.commission.value(abs(size), price) if size * o.side < 0 else 0.0
-        return self.cash + back - self.commission.cost(opens * o.side, price) - self.commission.fee(o.size, price) >= 0
+    def _accept(self) -> None:
+        """Orders handed in are accepted or refused in turn, as if each had been filled at the price that it was made at."""
+        cash, positions = self.cash, {}
+        for o in self.submitted:
+            if o.parent is not None and any(x.ref == o.parent and x.status in ("Margin", "Canceled") for x in self.finished):
+                o.status = "Canceled"
+                self.finished.append(o)
+                self.told.append(o)
+                continue
+            c, own = self.terms(o.symbol), self.book(o.symbol)
+            held = positions.setdefault(o.symbol, Position(own.position.size, own.position.price))
+            price = own.bar["open"] if self.cheat_on_open and o.kind == MARKET else o.created_price
+            opened, closed = held.update(o.size * o.side, price)
+            if closed:
+                cash += c.cost(-closed, price) if c.stock else c.cost(closed, price)
+                cash -= c.fee(closed, price)
+            if opened:
+                cash -= c.cost(opened, price) + c.fee(opened, price)
+            if cash >= 0:
+                o.status = "Accepted"
+                self.pending.append(o)
+                self.told.append(o)
+            else:
+                o.status = "Margin"
+                self.finished.append(o)
+                self.told.append(o)
+                self._ended(o)
+        self.submitted = []
 
     # Fills
 
@@ -371,15 +477,16 @@ class Broker:
         size = (self.filler(o, bar) if self.filler else o.left) * o.side
         if not size:
             return
-        c, before = self.commission, Position(self.position.size, self.position.price)
+        c, own = self.terms(o.symbol), self.book(o.symbol)
+        before = Position(own.position.size, own.position.price)
         if not c.stock and before.size:
-            self.cash += c.settlement(before.size, self.settled, price)
-        self.settled = price
+            self.cash += c.settlement(before.size, own.settled, price)
+        own.settled = price
         probe = Position(before.size, before.price)
         opened, closed = probe.update(size, price)
         pnl = c.profit(-closed, before.price, price) if closed else 0.0
         if closed:
-            self.cash += c.profit(-closed, before.price, price) + c.cost(-closed, before.price) if c.stock else c.cost(closed, price)
+            self.cash += (c.profit(-closed, before.price, price) if c.stock else 0.0) + c.cost(-closed, before.price)
             self.cash -= c.fee(closed, price)
         if opened:
             left = self.cash - c.cost(opened, price) - c.fee(opened, price)
@@ -389,21 +496,25 @@ class Broker:
             else:
                 self.cash = left
         if size:
-            self.position.update(size, price)
+            own.position.update(size, price)
             fees = c.fee(size, price)
             o.done_price = (o.done_price * o.done + price * abs(size)) / (o.done + abs(size))
             o.done, o.left, o.fees, o.pnl, o.executed = o.done + abs(size), o.left - abs(size), o.fees + fees, o.pnl + pnl, bar["dt"]
-            self.executions.append({"ref": o.ref, "dt": bar["dt"], "size": size, "price": price, "opened": opened, "closed": closed, "comm": fees, "pnl": pnl, "psize": self.position.size, "pprice": self.position.price})
-            if closed and self.trade:
-                self.trade.update(closed, price, c.fee(closed, price), pnl, bar["dt"], self.bars)
-                if self.trade.dtclose:
-                    self.closed_trades.append(self.trade)
-                    self.trade = None
+            o.bits.append({"ref": o.ref, "dt": bar["dt"], "size": size, "price": price, "opened": opened, "closed": closed, "comm": fees, "pnl": pnl, "psize": own.position.size, "pprice": own.position.price, "asset": o.symbol})
+            self.executions.append(o.bits[-1])
+            if closed and own.trade:
+                own.trade.update(closed, price, c.fee(closed, price), pnl, bar["dt"], own.bars)
+                if own.trade.dtclose:
+                    self.closed_trades.append(own.trade)
+                    own.trade = None
             if opened:
-                if self.trade is None:
+                if own.trade is None:
                     self.trades += 1
-                    self.trade = Trade(self.trades, tradeid=o.tradeid)
-                self.trade.update(opened, price, c.fee(opened, price), 0.0, bar["dt"], self.bars)
+                    own.trade = Trade(self.trades, tradeid=o.tradeid, symbol=o.symbol, history=[] if self.trade_history else None)
+                    if self.trade_history:
+                        self.histories.append(own.trade)
+                own.trade.update(opened, price, c.fee(opened, price), 0.0, bar["dt"], own.bars)
+        self.told.append(o)
         if o.status == "Margin":
             self.pending.remove(o)
             self.finished.append(o)
@@ -418,34 +529,64 @@ class Broker:
                 if x.parent == o.ref:
                     x.waits = False
 
+    def show(self, bar: dict, symbol: str | None = None) -> None:
+        """The next bar of a symbol has come; nothing is filled yet."""
+        self.symbol = symbol
+        own = self.book(symbol)
+        own.bar, own.bars = bar, own.bars + 1
+
     def start_bar(self, bar: dict) -> None:
-        self.bar, self.bars = bar, self.bars + 1
-        day = bar["dt"].date()
-        if self.last_dt and self.position.size and self.commission.interest:
-            self.cash -= self.commission.credit(self.position.size, self.position.price, (day - self.last_dt).days)
-        self.last_dt = day
-        awake = [o for o in self.pending if not o.waits]
-        for o in awake:
-            if o not in self.pending:
-                continue
-            if o.valid is not None and bar["dt"] > o.valid and o.kind != MARKET:
-                self.cancel(o, "Expired")
-                continue
-            if o.kind != HISTORICAL and bar["dt"] <= o.created and not self.cheat_on_open:
-                continue
-            price = o.created_price if self.cheat_on_close and o.kind == MARKET else self._price(o, bar)
-            if price is not None:
-                self._fill(o, price, bar)
-        if not self.commission.stock and self.position.size:
-            self.cash += self.commission.settlement(self.position.size, self.settled, bar["close"])
-        self.settled = bar["close"]
+        """The next bar of an account of one symbol."""
+        self.show(bar)
+        self.trade_on({self.symbol: bar})
+
+    def trade_on(self, new: dict[str | None, dict]) -> None:
+        """Works off orders on the new bars (by symbol, of one time), which have been shown."""
+        if self.submitted:
+            self._accept()
+        for name, bar in new.items():
+            c, own = self.terms(name), self.books[name]
+            if c.interest:
+                day = bar["dt"].date()
+                if own.day and own.position.size:
+                    self.cash -= c.credit(own.position.size, own.position.price, (day - own.day).days)
+                own.day = day
+        now = next(iter(new.values()))["dt"]
+        while self.old_orders and self.old_orders[0][0] <= now:
+            dt, size, price, *where = self.old_orders.pop(0)
+            name = where[0] if where else next(iter(new))
+            self.order(BUY if size > 0 else SELL, abs(size), HISTORICAL, price, symbol=name)
+        while self.old_funds and self.old_funds[0][0] <= now:
+            self.fund_now = self.old_funds.pop(0)[1:]
+        if self.pending:
+            for o in [o for o in self.pending if not o.waits]:
+                bar = new.get(o.symbol)
+                if bar is None or not o.alive:
+                    continue
+                if o.valid is not None and bar["dt"] > o.valid and o.kind != MARKET:
+                    self.cancel(o, "Expired")
+                    continue
+                price = o.created_price if self.cheat_on_close and o.kind == MARKET else self._price(o, bar)
+                if price is not None:
+                    self._fill(o, price, bar)
+        for name, bar in new.items():
+            c, own = self.terms(name), self.books[name]
+            if not c.stock and own.position.size:
+                self.cash += c.settlement(own.position.size, own.settled, bar["close"])
+            own.settled = bar["close"]
 
     def value(self) -> float:
-        return self.cash + self.commission.value(self.position.size, self.bar["close"])
+        """Cash and all positions at their last closes; of a fund with a history, its net asset value."""
+        if self.fund_now:
+            return self.fund_now[1]
+        return self.cash + sum(self.terms(name).value(own.position.size, own.bar["close"]) for name, own in self.books.items() if own.position.size)
+
+    def fund_value(self) -> float:
+        return self.fund_now[0] if self.fund_now else self.value() / self.fund_shares
 
     def add_cash(self, cash: float) -> None:
         """A deposit or withdrawal; fund shares are issued or taken back at their present value."""
-        self.fund_shares += cash / (self.value() / self.fund_shares)
+        self.fund_shares += cash / self.fund_value()
         self.cash += cash
 
 
@@ -461,7 +602,7 @@ class CrossStrategy:
 
     def next(self, broker: Broker, bar: dict) -> None:
         signal = bar[self.column]
-        if self.open is not None and (self.sticky or self.open.status in ("Accepted", "Partial")):
+        if self.open is not None and (self.sticky or self.open.alive):
             return
         if signal is None:
             return
@@ -494,7 +635,7 @@ class SignalStrategy:
         return any(n.removesuffix("_inv").removesuffix("_any") == kind for n in self.signals)
 
     def next(self, broker: Broker, bar: dict) -> None:
-        if broker.pending and not self.concurrent:
+        if (broker.pending or broker.submitted) and not self.concurrent:
             return
         both_long, both_short = self._on(bar, "longshort", 1), self._on(bar, "longshort", -1)
         long_in, short_in = self._on(bar, "long", 1), self._on(bar, "short", -1)
@@ -526,95 +667,184 @@ class SignalStrategy:
 _SCHEMA = pa.schema([
     ("kind", pa.string()), ("dt", pa.timestamp("us")), ("ref", pa.int64()), ("side", pa.int64()), ("type", pa.string()), ("status", pa.string()), ("created", pa.timestamp("us")), ("parent", pa.int64()), ("size", pa.float64()), ("price", pa.float64()),
     ("comm", pa.float64()), ("pnl", pa.float64()), ("pnlcomm", pa.float64()), ("long", pa.bool_()), ("dtopen", pa.timestamp("us")), ("dtclose", pa.timestamp("us")), ("barlen", pa.int64()), ("cash", pa.float64()), ("value", pa.float64()), ("fundvalue", pa.float64()), ("tradeid", pa.int64()),
+    ("asset", pa.string()), ("opened", pa.float64()), ("closed", pa.float64()), ("psize", pa.float64()), ("pprice", pa.float64()),
 ])
-_DDL = "kind string, dt timestamp_ntz, ref long, side long, type string, status string, created timestamp_ntz, parent long, size double, price double, comm double, pnl double, pnlcomm double, long boolean, dtopen timestamp_ntz, dtclose timestamp_ntz, barlen long, cash double, value double, fundvalue double, tradeid long"
-
-
-def simulate(bars: DataFrame, strategy: Callable[[dict], object], broker: Callable[[dict], Broker] = lambda first: Broker(), keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
-    """Events of all runs: the keys, and rows of kind order (when it ends), open (orders left at the end), execution, trade and equity.
-
-    `strategy` and `broker` make a run's own objects from its first row, which has the parameters of the run.
+_DDL = "kind string, dt timestamp_ntz, ref long, side long, type string, status string, created timestamp_ntz, parent long, size double, price double, comm double, pnl double, pnlcomm double, long boolean, dtopen timestamp_ntz, dtclose timestamp_ntz, barlen long, cash double, value double, fundvalue double, tradeid long, asset string, opened double, closed double, psize double, pprice double"
+
+
+class _Run:
+    """One strategy and its account, bar by bar, and the rows that come of them."""
+
+    def __init__(self, broker: Broker, strategy: object):
+        self.broker, self.strategy = broker, strategy
+        hook = lambda name: getattr(strategy, name, None)
+        self.prenext, self.nextstart, self.next_open = hook("prenext"), hook("nextstart"), hook("next_open") if broker.cheat_on_open else None
+        self.on_order, self.on_trade, self.on_cash, self.on_fund, self.on_timer = map(hook, ("notify_order", "notify_trade", "notify_cashvalue", "notify_fund", "notify_timer"))
+        self.needs, self.timers, self.started = getattr(strategy, "needs", ()), getattr(strategy, "timers", ()), False
+        if hook("start"):
+            strategy.start(broker)
+
+    def step(self, new: dict[str | None, dict], shown: object) -> None:
+        """`new`: bars by symbol; `shown`: what the strategy gets of them."""
+        b, s = self.broker, self.strategy
+        for name, bar in new.items():
+            b.show(bar, name)
+        if self.next_open:
+            self.next_open(b, shown)
+        b.trade_on(new)
+        if self.on_order:
+            for o in b.told:
+                self.on_order(b, o)
+        b.told.clear()
+        if self.on_trade:
+            for t in b.closed_trades:
+                self.on_trade(b, t)
+        if self.on_cash:
+            self.on_cash(b, b.cash, b.value())
+        if self.on_fund:
+            self.on_fund(b, b.cash, b.value(), b.fund_value(), b.fund_shares)
+        if self.on_timer:
+            for name in self.timers:
+                for bar in new.values():
+                    if bar[name]:
+                        self.on_timer(b, name, bar["dt"])
+        if not self.started and self.needs and any(bar[c] is None for bar in new.values() for c in self.needs):
+            if self.prenext:
+                self.prenext(b, shown)
+            return
+        if not self.started:
+            self.started = True
+            if self.nextstart:
+                self.nextstart(b, shown)
+                return
+        s.next(b, shown)
+
+    def rows(self) -> list[dict]:
+        b = self.broker
+        if not (b.finished or b.closed_trades or b.executions or b.histories):
+            return []
+        out = [*(_order_row(o, "order") for o in b.finished), *(_trade_row(t) for t in b.closed_trades), *({"kind": "execution"} | x for x in b.executions)]
+        for t in b.histories:
+            out += [{"kind": "history", "ref": t.ref, "tradeid": t.tradeid, "asset": t.symbol, "long": t.long} | x for x in t.history]
+            t.history.clear()
+        b.finished, b.closed_trades, b.executions, b.histories = [], [], [], [t for t in b.histories if not t.dtclose]
+        return out
+
+    def end(self) -> list[dict]:
+        if hasattr(self.strategy, "stop"):
+            self.strategy.stop(self.broker)
+        return [_order_row(o, "open") for o in (*self.broker.pending, *self.broker.submitted)]
+
+
+def _order_row(o: Order, kind: str) -> dict:
+    return {"kind": kind, "dt": o.executed, "ref": o.ref, "side": o.side, "type": o.kind, "status": o.status, "created": o.created, "parent": o.parent, "size": o.done or o.size, "price": o.done_price if o.done else o.created_price, "comm": o.fees, "pnl": o.pnl, "tradeid": o.tradeid, "asset": o.symbol}
+
+
+def _trade_row(t: Trade) -> dict:
+    return {"kind": "trade", "dt": t.dtclose, "ref": t.ref, "price": t.price, "comm": t.commission, "pnl": t.pnl, "pnlcomm": t.pnlcomm, "long": t.long, "dtopen": t.dtopen, "dtclose": t.dtclose, "barlen": t.barclose - t.baropen, "tradeid": t.tradeid, "asset": t.symbol}
+
+
+def simulate(bars: DataFrame, strategy: Callable[[dict], object], broker: Callable[[dict], Broker] = lambda first: Broker(), keys: tuple[str, ...] = ("symbol",), asset: str | None = None, variants: list[dict] | None = None) -> DataFrame:
+    """Events of all runs: the keys, and rows of kind order (when it ends), open (orders left at the end), execution, trade,
+    history (of trades, if the broker keeps it) and equity.
+
+    `strategy` and `broker` make a run's own objects from its first row, which has the parameters of the run. With `asset`, a column
+    that isn't a key, a run is one account over several symbols: bars of one time come together, as a dict by symbol. With
+    `variants`, every run is done once for each of them, in one pass over its bars: they are added to the row that the makers
+    get, their number is the column param_id, and nothing is copied or shuffled for them.
     """
     keys = tuple(keys)
+    shown_keys = (*keys, "param_id") if variants is not None else keys
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state, last, out = None, None, []
-
-        def order_row(o: Order, kind: str) -> dict:
-            return {"kind": kind, "dt": o.executed, "ref": o.ref, "side": o.side, "type": o.kind, "status": o.status, "created": o.created, "parent": o.parent, "size": o.done or o.size, "price": o.done_price if o.done else o.created_price, "comm": o.fees, "pnl": o.pnl, "tradeid": o.tradeid}
-
-        def trade_row(t: Trade) -> dict:
-            return {"kind": "trade", "dt": t.dtclose, "ref": t.ref, "price": t.price, "comm": t.commission, "pnl": t.pnl, "pnlcomm": t.pnlcomm, "long": t.long, "dtopen": t.dtopen, "dtclose": t.dtclose, "barlen": t.barclose - t.baropen, "tradeid": t.tradeid}
-
-        def drain(b: Broker, key: tuple) -> None:
-            for row in [*(order_row(o, "order") for o in b.finished), *(trade_row(t) for t in b.closed_trades), *({"kind": "execution"} | {k: x[k] for k in ("ref", "dt", "size", "price", "comm", "pnl")} for x in b.executions)]:
-                out.append(dict(zip(keys, key, strict=True)) | row)
-            b.finished, b.closed_trades, b.executions = [], [], []
+        last, runs, out, curve, schema = None, [], [], [], None
+        shown = (*shown_keys, "dt", "cash", "value", "fundvalue", "size", "price")
+        held: tuple | None = None  # time and bars that wait for others of the same time
+
+        def label(k: int) -> tuple:
+            return (*last, k) if variants is not None else last
+
+        def step(dt: datetime, new: dict, given: object) -> None:
+            for k, r in enumerate(runs):
+                r.step(new, given)
+                key, b = label(k), r.broker
+                named = dict(zip(shown_keys, key, strict=True))
+                out.extend(named | x for x in r.rows())
+                value = b.value()
+                p = b.position if asset is None else None
+                curve.append((*key, dt, b.cash, value, b.fund_now[0] if b.fund_now else value / b.fund_shares, p.size if p else None, p.price if p else None))
 
         def end() -> None:
-            if state:
-                for o in state[0].pending:
-                    out.append(dict(zip(keys, last, strict=True)) | order_row(o, "open"))
+            for k, r in enumerate(runs):
+                out.extend(dict(zip(shown_keys, label(k), strict=True)) | x for x in r.end())
 
-        def flush(schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+        def flush() -> Iterator[pa.RecordBatch]:
             if out:
                 yield pa.RecordBatch.from_pylist(out, schema=schema)
                 out.clear()
             if curve:
-                made = dict(zip(shown, zip(*curve, strict=True), strict=True))
-                n = len(curve)
+                made, n = dict(zip(shown, zip(*curve, strict=True), strict=True)), len(curve)
                 yield pa.RecordBatch.from_arrays([pa.array(made[f.name], f.type) if f.name in made else pa.array(["equity"] * n) if f.name == "kind" else pa.nulls(n, f.type) for f in schema], schema=schema)
                 curve.clear()
 
-        schema, curve, shown = None, [], (*keys, "dt", "cash", "value", "fundvalue", "size", "price")
+        def begin(bar: dict) -> list[_Run]:
+            return [_Run(broker(first), strategy(first)) for first in ([bar | v for v in variants] if variants is not None else [bar])]
+
         for batch in batches:
-            schema = schema or pa.schema([batch.schema.field(k) for k in keys] + list(_SCHEMA))
+            if schema is None:
+                schema = pa.schema([batch.schema.field(k) for k in keys] + ([("param_id", pa.int64())] if variants is not None else []) + list(_SCHEMA))
             names = batch.schema.names
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 bar = dict(zip(names, row, strict=True))
                 key = tuple(bar[k] for k in keys)
+                if held and (key != last or bar["dt"] != held[0]):
+                    step(held[0], held[1], held[1])
+                    held = None
                 if key != last:
                     end()
-                    last, state = key, (broker(bar), strategy(bar))
-                b, s = state
-                b.start_bar(bar)
-                s.next(b, bar)
-                if b.finished or b.closed_trades or b.executions:
-                    drain(b, key)
-                value = b.value()
-                curve.append((*key, bar["dt"], b.cash, value, value / b.fund_shares, b.position.size, b.position.price))
-            yield from flush(schema)
+                    last, runs = key, begin(bar)
+                if asset is None:
+                    step(bar["dt"], {None: bar}, bar)
+                else:
+                    held = held or (bar["dt"], {})
+                    held[1][bar[asset]] = bar
+            yield from flush()
+        if held:
+            step(held[0], held[1], held[1])
         end()
         if schema:
-            yield from flush(schema)
+            yield from flush()
 
     from pyspark.sql import types as T
 
-    fields = T.StructType([bars.schema[k] for k in keys] + T.DataType.fromDDL(_DDL).fields)
-    return bars.repartition(*keys).sortWithinPartitions(*keys, "dt").mapInArrow(run, fields)
+    fields = T.StructType([bars.schema[k] for k in keys] + ([T.StructField("param_id", T.LongType())] if variants is not None else []) + T.DataType.fromDDL(_DDL).fields)
+    return bars.repartition(*keys).sortWithinPartitions(*keys, "dt", *([asset] if asset else [])).mapInArrow(run, fields)
 
 
 def orders(events: DataFrame, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
-    return events.where("kind IN ('order', 'open')").select(*keys, "ref", "parent", "side", "type", "status", "created", F.col("dt").alias("executed"), "size", "price", "comm", "pnl")
+    return events.where("kind IN ('order', 'open')").select(*keys, "asset", "ref", "parent", "side", "type", "status", "created", F.col("dt").alias("executed"), "size", "price", "comm", "pnl")
 
 
 def executions(events: DataFrame, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
-    return events.where("kind = 'execution'").select(*keys, "ref", "dt", "size", "price", "comm", "pnl")
+    """The bits in which orders were filled, each with the position after it."""
+    return events.where("kind = 'execution'").select(*keys, "asset", "ref", "dt", "size", "price", "comm", "pnl", "opened", "closed", "psize", "pprice")
+
+
+def trade_updates(events: DataFrame, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
+    """Every change of every trade, of brokers that keep their history."""
+    return events.where("kind = 'history'").select(*keys, "asset", "ref", "status", "dt", "size", "price", "pnl", "pnlcomm", "barlen")
 
 
 def trades(events: DataFrame, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
-    return events.where("kind = 'trade'").select(*keys, "ref", "tradeid", "long", "dtopen", "dtclose", "barlen", "price", "pnl", "comm", "pnlcomm")
+    return events.where("kind = 'trade'").select(*keys, "asset", "ref", "tradeid", "long", "dtopen", "dtclose", "barlen", "price", "pnl", "comm", "pnlcomm")
 
 
 def equity(events: DataFrame, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
     return events.where("kind = 'equity'").select(*keys, "dt", "cash", "value", "fundvalue", "size", "price")
 
 
-def sweep(bars: DataFrame, **parameters: list) -> DataFrame:
-    """Bars by every combination of the parameters: one frame of combinations, of a size the caller wrote down, is broadcast."""
+def sweep(**parameters: list) -> list[dict]:
+    """Every combination of the parameters, for the `variants` of a simulation."""
     import itertools
 
-    spark = bars.sparkSession
-    rows = [(i, *map(float, v)) for i, v in enumerate(itertools.product(*parameters.values()))]
-    params = spark.createDataFrame(rows, ", ".join(["param_id int", *(f"{n} double" for n in parameters)]))
-    return bars.join(F.broadcast(params))
+    return [dict(zip(parameters, map(float, v), strict=True)) for v in itertools.product(*parameters.values())]

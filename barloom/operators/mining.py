@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from barloom.functions.scalar import max_of, min_of
 from barloom.operators.indicators import CLOSE, HIGH, LOW, OPEN, VOLUME, gain, loss
 from barloom.plans.lines import Line, col, cumulative, fold, lag, last_known, lead, op, over, rolling, row_number
+from barloom.plans.ordered import numbered_rows
 
 Lines = dict[str, Line]
 
@@ -199,10 +200,15 @@ def evaluate_rules(df: DataFrame, rules: dict[str, str], label: str, base: str |
 # Statistics
 
 
-def quantile_edges(df: DataFrame, columns: list[str], q: int = 5) -> dict[str, list[float]]:
-    """The distinct exact quantiles of each column (linear between ranks): one aggregate, a few numbers."""
+def quantile_edges(df: DataFrame, columns: list[str], q: int = 5, accuracy: int | None = None) -> dict[str, list[float]]:
+    """The distinct quantiles of each column: one aggregate, a few numbers.
+
+    They are exact (linear between ranks), for which the aggregate keeps a count of every distinct value; with `accuracy` they
+    are values whose rank is off by at most 1 / accuracy of the rows, from sketches of bounded size, as a huge table needs.
+    """
     shares = [k / q for k in range(q + 1)]
-    row = df.agg(*(F.percentile(c, shares).alias(c) for c in columns)).first()
+    quantile = (lambda c: F.percentile(c, shares)) if accuracy is None else (lambda c: F.percentile_approx(c, shares, accuracy))
+    row = df.agg(*(quantile(c).alias(c) for c in columns)).first()
     return {c: sorted(set(row[c] or [])) for c in columns}
 
 
@@ -265,12 +271,22 @@ def mine_rule(df: DataFrame, label: str, candidates: list[tuple[str, str, float]
     return simplify_rule(rule), best
 
 
-def walk_forward(df: DataFrame, order: str, pnl: str, folds: int) -> DataFrame:
-    """fold, hits, win, ev over folds of equal numbers of rows in order."""
-    placed = df.withColumn("_n", F.row_number().over(Window.orderBy(order)) - 1)
-    total = df.count()
-    fold_ = F.floor(F.col("_n") * folds / F.lit(max(total, 1))).cast("int")
-    return placed.groupBy(fold_.alias("fold")).agg(F.count("*").alias("hits"), F.avg((F.col(pnl) > 0).cast("double")).alias("win"), F.avg(pnl).alias("ev"))
+def walk_forward(df: DataFrame, order: str, pnl: str, folds: int, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
+    """The keys, fold, hits, win, ev over folds of (nearly) equal numbers of rows in order, each series by itself; fold k
+    begins at row k * n // folds. Without keys the table is one series, which is numbered by ranges and in no single task.
+    """
+    if keys:
+        w = Window.partitionBy(*keys)
+        placed = df.withColumns({"_n": F.row_number().over(w.orderBy(order)) - 1, "_all": F.count("*").over(w)})
+    else:
+        placed = numbered_rows(df, order, "_n").withColumn("_all", F.lit(df.count()))
+    fold_ = F.floor(((F.col("_n") + 1) * folds - 1) / F.col("_all")).cast("int")
+    return placed.groupBy(*keys, fold_.alias("fold")).agg(F.count("*").alias("hits"), F.avg((F.col(pnl) > 0).cast("double")).alias("win"), F.avg(pnl).alias("ev"))
+
+
+def walk_forward_stats(folds: DataFrame, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
+    """Mean and least rate of wins, mean outcome and all hits over the folds of `walk_forward`."""
+    return folds.groupBy(*keys).agg(F.avg("win").alias("mean_win"), F.min("win").alias("min_win"), F.avg("ev").alias("mean_ev"), F.sum("hits").alias("total_hits"))
 
 
 RATIOS = "SELECT symbol, round(avg(x) / nullif(stddev_pop(x), 0), 6) AS sharpe, round(avg(x) / nullif(stddev_pop(CASE WHEN x < 0 THEN x END), 0), 6) AS sortino FROM @values GROUP BY symbol"
@@ -284,14 +300,27 @@ def events(rows: DataFrame, gap_seconds: int, keys: list[str], dt: str = "dt") -
     return rows.withColumn("_far", F.coalesce(far, F.lit(True)).cast("int")).withColumn("event", F.sum("_far").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_far")
 
 
-def score_higher(x: Column, bad: float, mid: float, good: float, k: float = 1.0) -> Column:
-    """0 to 1, piecewise: 0.5 at `mid`, with exponential tails beyond `bad` and `good`."""
-    inside = F.when(x <= mid, 0.1 + 0.4 * (x - bad) / (mid - bad)).otherwise(0.5 + 0.4 * (x - mid) / (good - mid))
-    return F.when(x < bad, 0.1 * F.exp(-k * (bad - x) / abs(mid - bad))).when(x > good, 1 - 0.1 * F.exp(-k * (x - good) / abs(good - mid))).otherwise(inside)
+#: Scores at the three anchors, and how near to 0 and 1 a score may come.
+_ANCHORS, _EDGE = (0.25, 0.5, 0.75), 1e-12
+
+
+def score_higher(x: Column, bad: float, mid: float, good: float, k_low: float = 1.0, k_high: float = 1.0) -> Column:
+    """0 to 1: a quarter at `bad`, a half at `mid`, three quarters at `good`, straight between them; below `bad` it decays, above
+    `good` it nears 1, by k_low and k_high for each unit of x. No number, or anchors out of order: as good as 0."""
+    if not bad < mid < good:
+        return F.lit(_EDGE)
+    at_bad, at_mid, at_good = map(F.lit, _ANCHORS)
+    low = at_bad * F.exp(-max(_EDGE, k_low) * (F.lit(bad) - x))
+    high = at_good + (1 - at_good) * (1 - F.exp(-max(_EDGE, k_high) * (x - F.lit(good))))
+    inside = F.when(x < mid, at_bad + (at_mid - at_bad) * (x - bad) / (mid - bad)).otherwise(at_mid + (at_good - at_mid) * (x - mid) / (good - mid))
+    score = F.when(x <= bad, low).when(x >= good, high).otherwise(inside)
+    usable = x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+    return F.when(usable, F.greatest(F.lit(_EDGE), F.least(F.lit(1 - _EDGE), score))).otherwise(F.lit(_EDGE))
 
 
-def score_lower(x: Column, bad: float, mid: float, good: float, k: float = 1.0) -> Column:
-    return score_higher(-x, -bad, -mid, -good, k)
+def score_lower(x: Column, good: float, mid: float, bad: float, k_low: float = 1.0, k_high: float = 1.0) -> Column:
+    """The same for values of which less is better."""
+    return score_higher(-x, -bad, -mid, -good, k_low, k_high)
 
 
 def weighted_objective(df: DataFrame, value: str, weight: str, mode: str = "weighted") -> DataFrame:
@@ -300,7 +329,8 @@ def weighted_objective(df: DataFrame, value: str, weight: str, mode: str = "weig
 
 
 def annualized(factor: Column, years: Column) -> Column:
-    return F.pow(1 + factor, 1 / years) - 1
+    """Null without a positive time or capital."""
+    return F.when((years > 1e-12) & (1 + factor > 1e-12), F.pow(1 + factor, 1 / years) - 1)
 
 
 # Greedy picks: ordered folds with one time as their state

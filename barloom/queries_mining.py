@@ -85,12 +85,68 @@ def q_mine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(c, s, round(v, 6), round(float(rate), 6)) for c, s, v in rule], "feature string, sign string, bound double, rate double")
 
 
+def _folds(spark: SparkSession, sf_dir: str, keys: tuple[str, ...]) -> DataFrame:
+    t = feature_table(spark, sf_dir).where("fwd_ret_1 IS NOT NULL")
+    order = "dt" if keys else "at"
+    return M.walk_forward(t.withColumn("at", F.concat_ws("|", F.date_format("dt", "yyyyMMdd"), "symbol")), order, "fwd_ret_1", 5, keys)
+
+
 def q_walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = feature_table(spark, sf_dir).where("symbol = '5-LOW' AND fwd_ret_1 IS NOT NULL")
-    return M.walk_forward(t, "dt", "fwd_ret_1", 5).select("fold", "hits", F.round("win", 6).alias("win"), F.round("ev", 6).alias("ev"))
+    return _folds(spark, sf_dir, ("symbol",)).select("symbol", "fold", "hits", F.round("win", 6).alias("win"), F.round("ev", 6).alias("ev"))
+
+
+def q_walk_forward_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All symbols as one series."""
+    return _folds(spark, sf_dir, ()).select("fold", "hits", F.round("win", 6).alias("win"), F.round("ev", 6).alias("ev"))
+
+
+def q_walk_forward_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = M.walk_forward_stats(_folds(spark, sf_dir, ("symbol",)))
+    return out.select("symbol", *(F.round(c, 6).alias(c) for c in ("mean_win", "min_win", "mean_ev")), "total_hits")
+
+
+def _walk_sql(key: str, order: str) -> str:
+    by = f"PARTITION BY {key}" if key else ""
+    lead = f"{key}, " if key else ""
+    return f"SELECT {lead}CAST(((n + 1) * 5 - 1) // total AS INTEGER) AS fold, count(*) AS hits, round(avg(CASE WHEN fwd_ret_1 > 0 THEN 1.0::DOUBLE ELSE 0 END), 6) AS win, round(avg(fwd_ret_1), 6) AS ev FROM (SELECT *, row_number() OVER ({by} ORDER BY {order}) - 1 AS n, count(*) OVER ({by}) AS total FROM ({_TABLE_SQL}) WHERE fwd_ret_1 IS NOT NULL) GROUP BY ALL"
+
+
+_WALK_SQL = _walk_sql("symbol", "dt").replace("GROUP BY ALL", "GROUP BY 1, 2")
+_WALK_WHOLE_SQL = _walk_sql("", "strftime(dt, '%Y%m%d') || '|' || symbol").replace("GROUP BY ALL", "GROUP BY 1")
+_WALK_STATS_SQL = f"SELECT symbol, round(avg(win), 6) AS mean_win, round(min(win), 6) AS min_win, round(avg(ev), 6) AS mean_ev, CAST(sum(hits) AS BIGINT) AS total_hits FROM ({_WALK_SQL.replace('round(avg(CASE', '(avg(CASE').replace('ELSE 0 END), 6) AS win, round(avg(fwd_ret_1), 6) AS ev', 'ELSE 0 END)) AS win, avg(fwd_ret_1) AS ev')}) GROUP BY symbol"
+
+
+def q_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of returns, of which more is better, and of their size, of which less is; no returns score nothing."""
+    x = F.col("fwd_ret_1")
+    out = feature_table(spark, sf_dir).select("symbol", "dt", M.score_higher(x, -0.3, 0.05, 0.4, 2.0, 3.0).alias("higher"), M.score_lower(F.abs(x), 0.1, 0.3, 0.8, 2.0, 3.0).alias("lower"), M.score_higher(x, 1.0, 0.5, 2.0).alias("broken"))
+    return out.select("symbol", "dt", *(F.round(c, 6).alias(c) for c in ("higher", "lower", "broken")))
+
+
+def _score_sql(x: str, bad: float, mid: float, good: float, low: float, high: float) -> str:
+    return f"CASE WHEN {x} IS NULL THEN 1e-12 ELSE greatest(1e-12, least(1 - 1e-12, CASE WHEN {x} <= {bad} THEN 0.25 * exp(-{low} * ({bad} - {x})) WHEN {x} >= {good} THEN 0.75 + 0.25 * (1 - exp(-{high} * ({x} - {good}))) WHEN {x} < {mid} THEN 0.25 + 0.25 * ({x} - {bad}) / ({mid} - {bad}) ELSE 0.5 + 0.25 * ({x} - {mid}) / ({good} - {mid}) END)) END"
+
 
+_SCORES_SQL = f"SELECT symbol, dt, round({_score_sql('fwd_ret_1', '(-0.3::DOUBLE)', '0.05::DOUBLE', '0.4::DOUBLE', 2, 3)}, 6) AS higher, round({_score_sql('(-abs(fwd_ret_1))', '(-0.8::DOUBLE)', '(-0.3::DOUBLE)', '(-0.1::DOUBLE)', 2, 3)}, 6) AS lower, round(1e-12::DOUBLE, 6) AS broken FROM ({_TABLE_SQL})"
 
-_WALK_SQL = f"SELECT CAST(n * 5 // total AS INTEGER) AS fold, count(*) AS hits, round(avg(CASE WHEN fwd_ret_1 > 0 THEN 1.0::DOUBLE ELSE 0 END), 6) AS win, round(avg(fwd_ret_1), 6) AS ev FROM (SELECT *, row_number() OVER (ORDER BY dt) - 1 AS n, count(*) OVER () AS total FROM ({_TABLE_SQL}) WHERE symbol = '5-LOW' AND fwd_ret_1 IS NOT NULL) GROUP BY 1"
+
+def q_objective(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The objective of all runs in each of its forms, with a bar's volume as its weight."""
+    t = feature_table(spark, sf_dir).where("fwd_ret_1 IS NOT NULL")
+    parts = [M.weighted_objective(t, "fwd_ret_1", "volume", m).select(F.lit(m).alias("mode"), F.round("objective", 6).alias("objective")) for m in ("mean", "max", "min", "weighted")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
+_OBJECTIVE_SQL = " UNION ALL ".join(f"SELECT '{m}' AS mode, round({e}, 6) AS objective FROM ({_TABLE_SQL}) WHERE fwd_ret_1 IS NOT NULL" for m, e in {"mean": "avg(fwd_ret_1)", "max": "max(fwd_ret_1)", "min": "min(fwd_ret_1)", "weighted": "sum(fwd_ret_1 * volume) / sum(volume)"}.items())
+
+
+def q_annualized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The yearly rate of what every symbol made from its first close to its last."""
+    b = bars_orders(spark, sf_dir).groupBy("symbol").agg((F.max_by("close", "dt") / F.min_by("close", "dt") - 1).alias("factor"), (F.timestamp_diff("DAY", F.min("dt"), F.max("dt")) / 365.25).alias("years"))
+    return b.select("symbol", F.round(M.annualized(F.col("factor"), F.col("years")), 6).alias("rate"), M.annualized(F.lit(-2.0), F.col("years")).alias("broke"), M.annualized(F.col("factor"), F.lit(0.0)).alias("timeless"))
+
+
+_ANNUALIZED_SQL = f"SELECT symbol, round(pow(arg_max(close, dt) / arg_min(close, dt), 365.25::DOUBLE / date_diff('day', min(dt), max(dt))) - 1, 6) AS rate, NULL::DOUBLE AS broke, NULL::DOUBLE AS timeless FROM ({ORDERS_SQL}) GROUP BY symbol"
 _VALUES = "SELECT symbol, dt, close / 150000 - 1 AS x FROM @bars"
 
 
@@ -117,6 +173,13 @@ def q_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.greedy_pick(rows, ["symbol", "day"], [F.desc("close"), F.col("dt")], 3 * 3600, limit=3)
 
 
+_TOPK_SQL = f"""WITH RECURSIVE c AS MATERIALIZED (SELECT symbol, CAST(date_trunc('day', dt) AS TIMESTAMP) AS day, dt, round(close, 6) AS close FROM ({HOURLY_SQL})),
+q AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY symbol, day ORDER BY close DESC, dt) AS rn FROM c),
+r AS (SELECT symbol, day, 1::BIGINT AS rn, [dt] AS taken FROM q WHERE rn = 1 UNION ALL SELECT q.symbol, q.day, q.rn, CASE WHEN len(r.taken) < 3 AND len(list_filter(r.taken, lambda t: abs(epoch(q.dt) - epoch(t)) < 10800)) = 0 THEN list_append(r.taken, q.dt) ELSE r.taken END FROM r JOIN q ON q.symbol = r.symbol AND q.day = r.day AND q.rn = r.rn + 1),
+f AS (SELECT symbol, day, unnest(arg_max(taken, rn)) AS dt FROM r GROUP BY symbol, day)
+SELECT c.symbol, c.day, c.dt, c.close FROM f JOIN c USING (symbol, day, dt)"""
+
+
 def q_one_at_a_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = bars_hourly(spark, sf_dir).select("symbol", "dt", F.timestamp_add("HOUR", (F.col("volume") % 7 + 1).cast("int"), "dt").alias("exit"))
     return M.greedy_pick(rows, ["symbol"], [F.col("dt")], 0, until="exit")
@@ -227,16 +290,24 @@ def q_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.trades(ev).select("symbol", "ref", "long", "dtopen", "dtclose", F.round("pnl", 2).alias("pnl"))
 
 
+_PERIODS = list(range(5, 25))
+
+
 def q_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Averages of all periods are worked out once; a run picks the one of its parameters."""
-    periods = list(range(5, 25))
-    b = with_lines(bars_orders(spark, sf_dir), {f"s{p}": crossing(CLOSE, sma(CLOSE, p)) for p in periods})
-    grid = B.sweep(b, period=periods)
-    own = F.coalesce(*(F.when(F.col("period") == p, F.col(f"s{p}")) for p in periods))
-    runs = grid.select("symbol", "param_id", "period", "dt", "open", "high", "low", "close", "volume", own.alias("signal"))
-    ev = B.simulate(runs, lambda first: B.CrossStrategy(), lambda first: B.Broker(cash=10_000_000.0), ("symbol", "param_id"))
+    """Averages of all periods are worked out once; all runs of a symbol read its bars in one pass, each its own column."""
+    b = with_lines(bars_orders(spark, sf_dir), {f"s{p}": crossing(CLOSE, sma(CLOSE, p)) for p in _PERIODS})
+    own = lambda first: B.CrossStrategy(f"s{first['period']:.0f}")
+    ev = B.simulate(b, own, lambda first: B.Broker(cash=10_000_000.0), variants=B.sweep(period=_PERIODS))
     last = B.equity(ev, ("symbol", "param_id")).groupBy("symbol", "param_id").agg(F.max_by("value", "dt").alias("value"))
-    return last.select("symbol", F.col("param_id").cast("long").alias("param_id"), F.round("value", 4).alias("value"))
+    return last.select("symbol", "param_id", F.round("value", 4).alias("value"))
+
+
+_SWEEP_LINES = to_sql(ORDERS_SQL, {f"s{p}": crossing(CLOSE, sma(CLOSE, p)) for p in _PERIODS}, "symbol, dt, open, close, " + ", ".join(f"s{p}" for p in _PERIODS))
+_SWEEP_SQL = f"""WITH u AS MATERIALIZED (SELECT symbol, dt, open, close, unnest([{", ".join(str(k) for k in range(len(_PERIODS)))}])::BIGINT AS param_id, unnest([{", ".join(f"s{p}" for p in _PERIODS)}]) AS signal FROM ({_SWEEP_LINES})),
+s AS (SELECT *, lag(signal) OVER (PARTITION BY symbol, param_id ORDER BY dt) AS due FROM u),
+m AS (SELECT *, coalesce(last_value(CASE WHEN due > 0 THEN 1 WHEN due < 0 THEN 0 END IGNORE NULLS) OVER (PARTITION BY symbol, param_id ORDER BY dt ROWS UNBOUNDED PRECEDING), 0) AS held FROM s),
+h AS (SELECT *, coalesce(lag(held) OVER (PARTITION BY symbol, param_id ORDER BY dt), 0) AS before FROM m)
+SELECT symbol, param_id, round(10000000 - sum((held - before) * open) + arg_max(held * close, dt), 4) AS value FROM h GROUP BY symbol, param_id"""
 
 
 def q_backtest_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -247,6 +318,11 @@ def q_backtest_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return draw.join(sqn, "symbol", "left")
 
 
+_SUMMARY_EQUITY = f"WITH {_STATE}, q AS (SELECT *, 10000000 - sum((held - before) * open) OVER (PARTITION BY symbol ORDER BY dt ROWS UNBOUNDED PRECEDING) AS c FROM h) SELECT symbol, dt, c AS cash, c + held * close AS value FROM q"
+_SUMMARY_TRADES = f"WITH {_STATE}, o AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY dt) AS ref FROM h WHERE held > before), c AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY dt) AS ref FROM h WHERE held < before) SELECT o.symbol, o.ref, TRUE AS long, c.dt AS dtclose, c.open - o.open AS pnl, c.open - o.open AS pnlcomm FROM o JOIN c ON o.symbol = c.symbol AND o.ref = c.ref"
+_SUMMARY_SQL = f"SELECT d.symbol, d.max_drawdown, d.max_len, s.* EXCLUDE (symbol) FROM ({duck_sql(A.DRAWDOWN, equity=_SUMMARY_EQUITY)}) d LEFT JOIN ({duck_sql(A.SQN, trades=_SUMMARY_TRADES)}) s ON s.symbol = d.symbol"
+
+
 def q_multi_take_profit(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = with_lines(bars_orders(spark, sf_dir), {"x": crossing(CLOSE, sma(CLOSE, 10))}).withColumn("enter", F.col("x") > 0)
     out = multi_take_profit(b, "enter", (0.05, 0.1, 0.2), stop=0.1, hold=30, trail=0.05)
@@ -282,8 +358,8 @@ def mining_queries() -> dict:
         "feat_vwap": (q_vwap, to_sql(f"SELECT *, CAST(date_trunc('day', dt) AS TIMESTAMP) AS day FROM ({HOURLY_SQL})", M.feature_vwap(), "symbol, dt, round(vwap, 6) AS vwap, round(dist_vwap, 6) + 0 AS dist_vwap", key="symbol, day")),
         "label_first_hit": line_query("orders", M.first_hit_label(10, 0.1, 0.1)), "label_pessimistic": line_query("orders", M.pessimistic_label(10, 0.1, 0.1)), "label_excursion": line_query("orders", M.excursion(8)),
         "mine_lift": (q_lift, _LIFT_SQL), "mine_best_bins": (q_best_bins, _BEST_SQL), "mine_top_features": (q_top_features, f"SELECT * FROM ({_BEST_SQL}) ORDER BY lift DESC, feature LIMIT 2"), "mine_rules": (q_rules, _RULES_SQL), "mine_rule_search": (q_rule_search, _search_sql()), "mine_best_rule": (q_mine, None),
-        "mine_walk_forward": (q_walk_forward, _WALK_SQL), "mine_ratios": (lambda s, d: spark_sql(M.RATIOS, values=spark_sql(_VALUES, bars=bars_orders(s, d))), duck_sql(M.RATIOS, values=values)), "mine_loss_streaks": (lambda s, d: spark_sql(M.LOSS_STREAKS, values=spark_sql(_VALUES, bars=bars_orders(s, d))), duck_sql(M.LOSS_STREAKS, values=values)),
-        "mine_events": (q_events, _EVENTS_SQL), "pick_cooldown": (q_cooldown, _COOLDOWN_SQL), "pick_topk_per_day": (q_topk, None), "pick_one_at_a_time": (q_one_at_a_time, _ONE_SQL), "mine_correlations": (q_correlations, _CORR_SQL), "mine_sanity": (q_sanity, _SANITY_SQL),
-        "sim_cross_trades": (q_cross_trades, _TRADES_SQL), "sim_cross_equity": (q_cross_equity, _EQUITY_SQL), "sim_order_types": (q_scenario, None), "sim_signals": (q_signals, None), "sim_sweep": (q_sweep, None), "sim_backtest_summary": (q_backtest_summary, None),
+        "mine_walk_forward": (q_walk_forward, _WALK_SQL), "mine_walk_forward_whole": (q_walk_forward_whole, _WALK_WHOLE_SQL), "mine_walk_forward_stats": (q_walk_forward_stats, _WALK_STATS_SQL), "mine_scores": (q_scores, _SCORES_SQL), "mine_objective": (q_objective, _OBJECTIVE_SQL), "mine_annualized": (q_annualized, _ANNUALIZED_SQL), "mine_ratios": (lambda s, d: spark_sql(M.RATIOS, values=spark_sql(_VALUES, bars=bars_orders(s, d))), duck_sql(M.RATIOS, values=values)), "mine_loss_streaks": (lambda s, d: spark_sql(M.LOSS_STREAKS, values=spark_sql(_VALUES, bars=bars_orders(s, d))), duck_sql(M.LOSS_STREAKS, values=values)),
+        "mine_events": (q_events, _EVENTS_SQL), "pick_cooldown": (q_cooldown, _COOLDOWN_SQL), "pick_topk_per_day": (q_topk, _TOPK_SQL), "pick_one_at_a_time": (q_one_at_a_time, _ONE_SQL), "mine_correlations": (q_correlations, _CORR_SQL), "mine_sanity": (q_sanity, _SANITY_SQL),
+        "sim_cross_trades": (q_cross_trades, _TRADES_SQL), "sim_cross_equity": (q_cross_equity, _EQUITY_SQL), "sim_order_types": (q_scenario, None), "sim_signals": (q_signals, None), "sim_sweep": (q_sweep, _SWEEP_SQL), "sim_backtest_summary": (q_backtest_summary, _SUMMARY_SQL),
         "sim_multi_take_profit": (q_multi_take_profit, None), "pair_zscore": (q_pair_zscore, to_sql(_MERGED, {"zscore": _PAIR_LINES["zscore"]}, "pair, dt, round(zscore, 5) AS zscore", key="pair")), "sim_pair_trading": (q_pair_trading, None),
     }

@@ -124,6 +124,121 @@ def test_interest_and_deposits():
     assert b.fund_shares == 150 and b.value() / b.fund_shares == 100
 
 
+def test_submitted_orders_are_checked_together():
+    b = B.Broker(cash=100.0)
+    made = play(b, [(60, 60, 60, 60), (60, 60, 60, 60), (60, 60, 60, 60)], {0: lambda b: (b.buy(1), b.buy(1))})
+    assert [o.status for o in made[0]] == ["Completed", "Margin"] and b.cash == 40 and b.position.size == 1
+    b = B.Broker(cash=100.0)
+    made = play(b, [(60, 60, 60, 60)] * 4, {0: lambda b: b.buy(1), 1: lambda b: (b.close(), b.buy(1))})
+    assert [o.status for o in made[1]] == ["Completed", "Completed"] and b.position.size == 1
+    b = B.Broker(cash=100.0, check_submit=False)
+    made = play(b, [(60, 60, 60, 60)] * 2, {0: lambda b: (b.buy(1), b.buy(1))})
+    assert [o.status for o in made[0]] == ["Completed", "Margin"]
+
+
+def run(bars, strategy, broker):
+    r = B._Run(broker, strategy)
+    for k, b in enumerate(bars):
+        one = b if isinstance(b, dict) else {None: bar(k, *b)}
+        r.step(one, one if isinstance(b, dict) else one[None])
+    return r
+
+
+def test_cheating_on_the_open():
+    class AtOpen:
+        def __init__(self):
+            self.n = 0
+
+        def next_open(self, b, bar):
+            self.n += 1
+            if self.n == 2:
+                b.buy(1)
+
+        def next(self, b, bar):
+            pass
+
+    bars = [(10, 10, 10, 10), (20, 25, 20, 25), (30, 30, 30, 30)]
+    r = run(bars, AtOpen(), B.Broker(cheat_on_open=True))
+    assert [(x["price"], x["dt"].day) for x in r.broker.executions] == [(20, 2)]
+    assert not run(bars, AtOpen(), B.Broker()).broker.executions
+    # what an order may cost is judged by the open that it is filled at
+    assert run(bars, AtOpen(), B.Broker(cash=22.0, cheat_on_open=True)).broker.position.size == 1
+
+
+def test_one_purse_for_several_symbols():
+    class Both:
+        def next(self, b, bars):
+            for name in bars:
+                if not b.on(name).position.size and not b.submitted:
+                    b.buy(1, symbol=name)
+
+    two = lambda k, a, z: {"A": bar(k, a, a, a, a), "Z": bar(k, z, z, z, z)}
+    r = run([two(0, 60, 50), two(1, 60, 50), two(2, 60, 50), two(3, 70, 50)], Both(), B.Broker(cash=100.0))
+    assert {k: x.position.size for k, x in r.broker.books.items()} == {"A": 1, "Z": 0} and r.broker.cash == 40 and r.broker.value() == 110
+    assert {o.status for o in r.broker.finished if o.symbol == "Z"} == {"Margin"}
+    r = run([two(0, 60, 50), two(1, 60, 50), {"Z": bar(2, 55, 55, 55, 55)}, two(3, 70, 50)], Both(), B.Broker(cash=1000.0, commissions={"Z": B.Commission(1.0, percent=False)}))
+    assert r.broker.cash == 1000 - 60 - 55 - 1 and r.broker.value() == 1000 - 60 - 55 - 1 + 70 + 50
+
+
+def test_hooks_are_called():
+    calls = []
+
+    class Told:
+        needs, timers = ("mean",), ("ring",)
+
+        def start(self, b):
+            calls.append("start")
+
+        def prenext(self, b, bar):
+            calls.append("prenext")
+
+        def nextstart(self, b, bar):
+            calls.append("nextstart")
+            b.buy(1)
+
+        def next(self, b, bar):
+            calls.append("next")
+            b.close()
+
+        def notify_order(self, b, o):
+            calls.append(f"order {o.status}")
+
+        def notify_trade(self, b, t):
+            calls.append(f"trade {t.pnl}")
+
+        def notify_cashvalue(self, b, cash, value):
+            calls.append(f"cash {cash}")
+
+        def notify_fund(self, b, cash, value, fundvalue, shares):
+            assert shares == 1 and fundvalue == value
+
+        def notify_timer(self, b, name, dt):
+            calls.append(f"{name} {dt.day}")
+
+        def stop(self, b):
+            calls.append("stop")
+
+    r = B._Run(B.Broker(cash=100.0), Told())
+    for k, mean in enumerate([None, 1.0, 1.0, 1.0]):
+        one = bar(k, 10 + k, 10 + k, 10 + k, 10 + k) | {"mean": mean, "ring": k == 2}
+        r.step({None: one}, one)
+    r.end()
+    assert calls == ["start", "cash 100.0", "prenext", "cash 100.0", "nextstart", "order Completed", "order Completed", "order Completed", "cash 88.0", "ring 3", "next", "order Completed", "order Completed", "order Completed", "trade 1.0", "cash 101.0", "next", "stop"]
+
+
+def test_histories():
+    day = lambda k: dt.datetime(2024, 1, 1) + k * DAY
+
+    class Idle:
+        def next(self, b, bar):
+            pass
+
+    b = B.Broker(order_history=[(day(1), 5, 9.0), (day(2), -5, 12.0)], fund_history=[(day(2), 101.0, 5000.0)], trade_history=True)
+    r = run([(10, 10, 10, 10)] * 4, Idle(), b)
+    assert [(x["size"], x["price"], x["pnl"]) for x in b.executions] == [(5, 9.0, 0.0), (-5, 12.0, 15.0)] and b.value() == 5000 and b.fund_value() == 101
+    assert [(x["status"], x["size"], x["pnl"]) for x in r.rows() if x["kind"] == "history"] == [("Open", 5, 0.0), ("Closed", 0, 15.0)]
+
+
 def test_runs_are_independent_of_partitions(spark):
     from barloom.operators.indicators import CLOSE, crossing, sma
     from barloom.plans.lines import with_lines

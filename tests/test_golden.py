@@ -55,8 +55,7 @@ def test_cross_strategy(bars, commission, cash, value):
 def test_sweep(bars):
     periods = list(range(5, 45))
     signals = with_lines(bars, {f"s{p}": crossing(CLOSE, sma(CLOSE, p)) for p in periods})
-    grid = B.sweep(signals, period=periods)
-    grid = grid.withColumn("signal", F.coalesce(*(F.when(F.col("period") == p, F.col(f"s{p}")) for p in periods)))
-    ev = B.simulate(grid, lambda first: B.CrossStrategy(sticky=True), lambda first: B.Broker(commission=B.Commission(2.0, 10.0, 1000.0)), ("param_id",))
+    own = lambda first: B.CrossStrategy(f"s{first['period']:.0f}", sticky=True)
+    ev = B.simulate(signals, own, lambda first: B.Broker(commission=B.Commission(2.0, 10.0, 1000.0)), variants=B.sweep(period=periods))
     last = B.equity(ev, ("param_id",)).groupBy("param_id").agg(F.max_by(F.struct("value", "cash"), "dt").alias("v")).orderBy("param_id").collect()
     assert [round(r.v.value, 2) for r in last] == SWEEP and all(round(r.v.value - r.v.cash, 2) == 1000 for r in last)

@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 import pytest
 from helpers import BARS, column, walk
@@ -84,3 +85,59 @@ def test_features_are_finite_or_null(spark):
     df = spark.createDataFrame(walk(80), BARS)
     out = with_lines(df, M.price_action() | M.timeframe_features())
     assert out.count() == 80 and out.where("body_ratio < 0 OR body_ratio > 1.0000001").count() == 0
+
+
+def test_scores(spark):
+    import math
+
+    def plain(x, bad, mid, good, low, high):
+        if x is None or not math.isfinite(x) or not bad < mid < good:
+            return 1e-12
+        if x <= bad:
+            v = 0.25 * math.exp(-low * (bad - x))
+        elif x < mid:
+            v = 0.25 + 0.25 * (x - bad) / (mid - bad)
+        elif x < good:
+            v = 0.5 + 0.25 * (x - mid) / (good - mid)
+        else:
+            v = 0.75 + 0.25 * (1 - math.exp(-high * (x - good)))
+        return min(1 - 1e-12, max(1e-12, v))
+
+    xs = [None, float("nan"), float("inf"), -50.0, -1.0, 0.0, 0.5, 1.0, 1.5, 2.0, 2.5, 99.0]
+    df = spark.createDataFrame([(x,) for x in xs], "x double")
+    got = df.select(M.score_higher(F.col("x"), 0.0, 1.0, 2.0, 0.5, 3.0).alias("h"), M.score_lower(F.col("x"), 0.0, 1.0, 2.0, 0.5, 3.0).alias("l"), M.score_higher(F.col("x"), 1.0, 1.0, 2.0).alias("b")).collect()
+    for x, r in zip(xs, got, strict=True):
+        assert abs(r.h - plain(x, 0.0, 1.0, 2.0, 0.5, 3.0)) < 1e-12 and abs(r.l - plain(None if x is None else -x, -2.0, -1.0, 0.0, 0.5, 3.0)) < 1e-12 and r.b == 1e-12
+
+
+def test_walk_forward_edges(spark):
+    """Fold k begins at row k * n // folds, in one series as in each of several."""
+    for n in (1, 4, 7, 23):
+        df = spark.createDataFrame([("A", k, float(k)) for k in range(n)], "symbol string, dt int, pnl double").repartition(3)
+        want = {}
+        for k in range(5):
+            for _ in range(k * n // 5, (k + 1) * n // 5):
+                want[k] = want.get(k, 0) + 1
+        for keys in (("symbol",), ()):
+            assert {r.fold: r.hits for r in M.walk_forward(df, "dt", "pnl", 5, keys).collect()} == want
+
+
+def test_ordered_ranges(spark):
+    from barloom.plans.ordered import carried_forward, numbered_rows
+
+    r = random.Random(3)
+    rows = [(k, r.choice([None, float(k)]), None if k < 40 else 1.0) for k in range(500)]
+    r.shuffle(rows)
+    df = spark.createDataFrame(rows, "dt int, a double, b double").repartition(7)
+    assert all(x.n == x.dt for x in numbered_rows(df, "dt", "n").collect())
+    last, got = None, {x.dt: x for x in carried_forward(df, "dt", ["a", "b"]).collect()}
+    for dt_, a, b in sorted(rows, key=lambda x: x[0]):
+        last = a if a is not None else last
+        assert got[dt_].a == last and got[dt_].b == b
+    assert numbered_rows(df.limit(0), "dt", "n").count() == 0 and carried_forward(df.limit(0), "dt", ["a"]).count() == 0
+
+
+def test_quantiles_of_bounded_size(spark):
+    df = spark.range(10_000).selectExpr("cast(id as double) AS x")
+    assert M.quantile_edges(df, ["x"], 4)["x"] == [0, 2499.75, 4999.5, 7499.25, 9999]
+    assert all(abs(a - b) <= 10 for a, b in zip(M.quantile_edges(df, ["x"], 4, accuracy=1000)["x"], [0, 2499.75, 4999.5, 7499.25, 9999], strict=True))
