@@ -112,7 +112,14 @@ class HalfWay:
 class LeastErrorGain:
     """An average that is corrected by the gain, of -limit/10 to limit/10 in tenths, that brings it closest to the price."""
 
-    SQL = None
+    SKIP = "x0 IS NULL OR x1 IS NULL"
+    _V = "(p0::DOUBLE * x1 + (1 - p0::DOUBLE) * r.v) + g * (p0::DOUBLE * (x0 - r.v) / 10)"
+    SQL = {
+        "v": (
+            "CASE WHEN x0 IS NOT NULL THEN x1 END",
+            f"CASE WHEN x0 IS NULL OR x1 IS NULL THEN r.v WHEN r.v IS NULL THEN x1 ELSE list_sort(list_transform(range(-p1, p1 + 1), lambda g: {{'far': abs(x0 - ({_V})), 'gain': g, 'v': {_V}}}))[1].v END",
+        )
+    }
 
     def __init__(self, alpha: float, limit: int):
         self.alpha, self.limit, self.v = alpha, limit, None
@@ -132,7 +139,27 @@ class LeastErrorGain:
 class StopAndReverse:
     """Parabolic stop-and-reverse of (high, low, close); shown from row `period`."""
 
-    SQL = None
+    SKIP = "FALSE"
+
+    # State before the row (up, stop, extreme, speed), after a reversal, and after the row, each written over the one before.
+    _UP = "(CASE WHEN r.n = 1 THEN (CASE WHEN x2 >= r.lc THEN 0 ELSE 1 END) ELSE r.up END)"
+    _STOP = "(CASE WHEN r.n = 1 THEN (x0 + x1) / 2 ELSE r.stop END)"
+    _FAR = "(CASE WHEN r.n = 1 THEN (CASE WHEN x2 >= r.lc THEN r.ll ELSE r.lh END) ELSE r.far END)"
+    _SPEED = "(CASE WHEN r.n = 1 THEN p1 ELSE r.speed END)"
+    _TURNS = f"(({_UP} = 1 AND {_STOP} >= x1) OR ({_UP} = 0 AND {_STOP} <= x0))"
+    _UP1 = f"(CASE WHEN {_TURNS} THEN 1 - {_UP} ELSE {_UP} END)"
+    _STOP1 = f"(CASE WHEN {_TURNS} THEN {_FAR} ELSE {_STOP} END)"
+    _FAR1 = f"(CASE WHEN NOT {_TURNS} THEN {_FAR} WHEN {_UP1} = 1 THEN x0 ELSE x1 END)"
+    _SPEED1 = f"(CASE WHEN {_TURNS} THEN p1 ELSE {_SPEED} END)"
+    _BEYOND = f"(({_UP1} = 1 AND x0 > {_FAR1}) OR ({_UP1} = 0 AND x1 < {_FAR1}))"
+    _FAR2 = f"(CASE WHEN NOT {_BEYOND} THEN {_FAR1} WHEN {_UP1} = 1 THEN x0 ELSE x1 END)"
+    _SPEED2 = f"(CASE WHEN {_BEYOND} THEN least({_SPEED1} + p1, p2) ELSE {_SPEED1} END)"
+    _STOP2 = f"({_STOP1} + {_SPEED2} * ({_FAR2} - {_STOP1}))"
+    SQL = {
+        "n": ("1", "r.n + 1"), "lh": ("x0", "x0"), "ll": ("x1", "x1"), "lc": ("x2", "x2"), "up": ("NULL", _UP1), "far": ("NULL", _FAR2), "speed": ("NULL", _SPEED2),
+        "stop": ("NULL", f"CASE WHEN {_UP1} = 1 THEN least({_STOP2}, x1, r.ll) ELSE greatest({_STOP2}, x0, r.lh) END"), "shown": ("NULL", _STOP1),
+    }
+    OUT = "CASE WHEN n >= p0 THEN shown END"
 
     def __init__(self, period: int, step_: float, most: float):
         self.period, self.by, self.most, self.n, self.state, self.last = period, step_, most, 0, None, None

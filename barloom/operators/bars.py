@@ -253,13 +253,17 @@ def renko(bars: DataFrame, size: float | None = None, autosize: float = 20.0, al
 
 def trading_calendar(spark, start: str, end: str, holidays: list[str] = (), offdays: tuple[int, ...] = (5, 6), open_: str = "09:00", close: str = "17:30", early: dict[str, str] | None = None) -> DataFrame:
     """day, opens, closes, next_day, last_of_week, last_of_month, last_of_year for every trading day (Monday is 0)."""
-    days = spark.sql(f"SELECT explode(sequence(date'{start}', date'{end}')) AS day").where(~F.weekday("day").isin(*offdays))
-    if holidays:
-        days = days.where(~F.col("day").isin(*[F.lit(d).cast("date") for d in holidays]))
+    def trading(d):
+        off = F.weekday(d).isin(*offdays) if offdays else F.lit(False)
+        return ~(off | d.isin(*[F.lit(h).cast("date") for h in holidays])) if holidays else ~off
+
+    days = spark.sql(f"SELECT explode(sequence(date'{start}', date'{end}')) AS day")
+    days = days.where(trading(F.col("day")))
     day, closes = F.col("day").cast("timestamp_ntz"), F.lit(clock(close))
     for d, at in (early or {}).items():
         closes = F.when(F.col("day") == F.lit(d).cast("date"), F.lit(clock(at))).otherwise(closes)
-    following = F.lead("day").over(Window.orderBy("day"))
+    reach = 8 + len(holidays)  # no closure is longer than a week and all holidays
+    following = F.get(F.filter(F.sequence(F.date_add("day", 1), F.date_add("day", reach)), lambda d: trading(d) & (d <= F.lit(end).cast("date"))), F.lit(0))
     out = days.select("day", _time(day, F.lit(clock(open_))).alias("opens"), _time(day, closes).alias("closes"), following.alias("next_day"))
     last = lambda unit: F.coalesce(F.date_trunc(unit, "day") != F.date_trunc(unit, "next_day"), F.lit(True))
     return out.select("*", last("week").alias("last_of_week"), last("month").alias("last_of_month"), last("year").alias("last_of_year"))

@@ -67,6 +67,13 @@ def _fill_sql(grid: str, source: str, value: str = "last_value(close IGNORE NULL
     )
 
 
+_RENKO_SQL = f"""WITH RECURSIVE b AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY dt) AS rn FROM ({HOURLY_SQL})),
+r AS (SELECT symbol, 1::BIGINT AS rn, step, round_even(open, 0) + step AS top, round_even(open, 0) - step AS bottom, FALSE AS made, 0::DOUBLE AS edge, FALSE AS up FROM (SELECT *, CASE WHEN floor(open / 20) > 0 THEN floor(open / 20) ELSE 1::DOUBLE END AS step FROM b WHERE rn = 1)
+UNION ALL SELECT symbol, rn, step, CASE WHEN NOT hit THEN top WHEN up THEN edge + step ELSE edge + 2 * step END, CASE WHEN NOT hit THEN bottom WHEN up THEN edge - 2 * step ELSE edge - step END, hit, edge, up
+FROM (SELECT r.symbol, b.rn, r.step, r.top, r.bottom, b.close >= r.top OR b.close <= r.bottom AS hit, b.close >= r.top AS up, CASE WHEN b.close >= r.top THEN r.top + floor((b.close - r.top) / r.step) * r.step ELSE r.bottom - floor((r.bottom - b.close) / r.step) * r.step END AS edge FROM r JOIN b ON b.symbol = r.symbol AND b.rn = r.rn + 1))
+SELECT b.symbol, b.dt, round(CASE WHEN up THEN edge - step ELSE edge + step END, 6) AS open, round(CASE WHEN up THEN edge ELSE edge + step END, 6) AS high, round(CASE WHEN up THEN edge - step ELSE edge END, 6) AS low, round(edge, 6) AS close, round(volume, 6) AS volume, round(openinterest, 6) AS openinterest FROM r JOIN b USING (symbol, rn) WHERE made"""
+
+
 def _calendar_grid(where: str = "TRUE") -> str:
     return f"SELECT symbol, dt FROM (SELECT symbol, CAST(unnest(generate_series(min(dt), max(dt), INTERVAL 1 DAY)) AS TIMESTAMP) AS dt FROM b GROUP BY symbol) WHERE {where}"
 
@@ -183,7 +190,7 @@ def bar_queries() -> dict:
         "bar_replayer_open": (lambda s, d: tidy(bars.open_then_bar(bars_orders(s, d))), f"SELECT {_B} FROM (SELECT symbol, dt, open, open AS high, open AS low, open AS close, 0::DOUBLE AS volume, 0::DOUBLE AS openinterest FROM ({ORDERS_SQL}) UNION ALL SELECT symbol, {_END}, open, high, low, close, volume, openinterest FROM ({ORDERS_SQL}))"),
         "day_steps": (lambda s, d: tidy(bars.day_steps(bars_orders(s, d))), f"SELECT {_B} FROM (SELECT symbol, dt, open, high, low, {_MEAN} AS close, volume * 0.5::DOUBLE AS volume, openinterest FROM ({ORDERS_SQL}) UNION ALL SELECT symbol, {_END}, open, high, low, close, volume, openinterest FROM ({ORDERS_SQL}))"),
         "session_end_filler": (lambda s, d: tidy(bars.at_session_end(bars_orders(s, d))), f"SELECT {_B} FROM (SELECT * REPLACE ({_END} AS dt) FROM ({ORDERS_SQL}))"),
-        "renko": (lambda s, d: tidy(bars.renko(bars_hourly(s, d))), None),
+        "renko": (lambda s, d: tidy(bars.renko(bars_hourly(s, d))), _RENKO_SQL),
         "chainer": (q_chain, f"SELECT {_B} FROM ({ORDERS_SQL})"),
         "roll_over": (q_roll_over, _ROLL),
         "merge_symbols": (q_merge_symbols, f"WITH b AS ({ORDERS_SQL}), g AS (SELECT dt, symbol FROM (SELECT DISTINCT dt FROM b), (SELECT DISTINCT symbol FROM b)) SELECT g.dt, g.symbol, round(b.close, 6) AS close FROM g ASOF LEFT JOIN b ON g.symbol = b.symbol AND g.dt >= b.dt"),

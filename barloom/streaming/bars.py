@@ -18,7 +18,7 @@ def stream_bars(ticks: DataFrame, minutes: int, late: str = "10 minutes") -> Dat
 
     Windows of the engine are closed at the left: times are moved back by a microsecond, so that a tick on an edge closes its bar.
     """
-    moved = ticks.withWatermark("ts", late).withColumn("_t", F.col("ts") - F.expr("INTERVAL '0.000001' SECOND"))
+    moved = ticks.withColumn("_t", F.col("ts") - F.expr("INTERVAL '0.000001' SECOND")).withWatermark("_t", late)
     order = F.struct("ts", "event_id")
     out = moved.groupBy("symbol", F.window("_t", f"{minutes} minutes").alias("w")).agg(F.min_by("price", order).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", order).alias("close"), F.sum("volume").alias("volume"))
     return out.select("symbol", F.col("w.end").alias("dt"), "open", "high", "low", "close", "volume")
@@ -63,8 +63,9 @@ def stream_sessions(rows: DataFrame, gap: str, late: str = "10 minutes") -> Data
     return rows.withWatermark("ts", late).groupBy("symbol", w.alias("w")).agg(F.count("*").alias("n")).select("symbol", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
-def run_to_end(df: DataFrame, name: str, folder: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over what its source has now, and returns what it wrote: for tests and back-fills."""
-    q = df.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", folder).trigger(availableNow=True).start()
+def run_to_end(df: DataFrame, folder: str) -> DataFrame:
+    """Runs a stream in append mode over what its source has now and returns what it wrote: Parquet files in `folder`, which
+    driver and executors share. What the watermark hasn't closed yet stays in the stream's state, for the next run."""
+    q = df.writeStream.outputMode("append").format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return df.sparkSession.table(name)
+    return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/rows")

@@ -11,6 +11,7 @@ NAMES = [
     "ind_moving_average_simple", "ind_exponential_moving_average", "ind_adaptive_moving_average", "ind_macd_histo", "ind_relative_strength_index", "ind_heikin_ashi", "ind_ichimoku", "ind_percent_rank", "ind_laguerre_rsi",
     "resample_minutes", "resample_weekly", "replay_days", "calendar_days", "couple_timeframes", "merge_symbols", "timer", "guarded_lines", "an_sharpe_ratio", "an_drawdown", "an_vwr", "an_trade_streaks", "an_calmar",
     "feat_dmi", "label_pessimistic", "mine_lift", "mine_rule_search", "pick_cooldown", "sim_cross_trades", "stream_bars",
+    "ind_zero_lag_indicator", "ind_parabolic_sar", "renko", "pick_topk_per_day", "mine_walk_forward_whole", "mine_scores", "merge_feeds", "trading_calendar", "sim_sweep", "sim_sizers", "sim_commissions", "sim_fillers", "sim_portfolio", "sim_trade_updates", "read_bar_csv", "read_binary_days", "read_minute_csv", "write_report", "stream_ema",
 ]
 
 

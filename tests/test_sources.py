@@ -63,8 +63,12 @@ def test_streams_give_what_batches_give(spark, tmp_path):
     df = spark.createDataFrame(rows, "symbol string, ts timestamp, price double, volume double, event_id int")
     df.write.parquet(f"file://{tmp_path}/ticks")
     stream = spark.readStream.schema(df.schema).parquet(f"file://{tmp_path}/ticks")
-    out = S.run_to_end(S.stream_bars(stream, 1), "bars_test", f"file://{tmp_path}/ck1", "complete").orderBy("dt").collect()
-    assert [(r.dt.minute, r.open, r.close, r.volume) for r in out] == [(1, 1, 43, 7), (2, 5, 5, 1)]
+    folder = f"file://{tmp_path}/bars"
+    show = lambda out: [(r.dt.minute, r.open, r.close, r.volume) for r in out.orderBy("dt").collect()]
+    assert show(S.run_to_end(S.stream_bars(stream, 1, "0 seconds"), folder)) == [(1, 1, 43, 7)]  # the bar of 9:02 is still open
+    late = [("A", T(2024, 1, 1, 9, 0, 30), 7.0, 1.0, 100), ("A", T(2024, 1, 1, 9, 1, 50), 4.0, 1.0, 101), ("A", T(2024, 1, 1, 9, 20), 6.0, 1.0, 102)]
+    spark.createDataFrame(late, df.schema).write.mode("append").parquet(f"file://{tmp_path}/ticks")
+    assert show(S.run_to_end(S.stream_bars(stream, 1, "0 seconds"), folder)) == [(1, 1, 43, 7), (2, 4, 5, 2)]  # the tick of 9:00:30 came too late, that of 9:01:50 in time
     closes = spark.readStream.schema(df.schema).parquet(f"file://{tmp_path}/ticks").selectExpr("symbol", "ts AS dt", "price AS close")
-    got = [r.ema for r in S.run_to_end(S.stream_ema(closes, 3), "ema_test", f"file://{tmp_path}/ck2").orderBy("dt").collect()]
-    assert got[:3] == [None, None, 8.0] and got[3] == 8 + (22 - 8) * 0.5
+    got = [r.ema for r in S.run_to_end(S.stream_ema(closes, 3), f"file://{tmp_path}/ema").orderBy("dt").collect()]
+    assert got == [None, None, 8.0, 15.0, 22.0, 14.5, 25.25, 34.125, 19.0625, 12.03125, 9.015625]
