@@ -1,6 +1,6 @@
 """Licence scans by a positional rare-token index over known notices.
 
-1. One pass counts in how many documents each word of the notices occurs (its IDF follows).
+1. One pass counts in how many documents each word of the notices occurs (its IDF follows; 0 for a word that none has).
 2. The index lists the `RARE` highest-IDF places of every notice: words with their offsets in it.
 3. A second pass looks up, of a file's licence words, those that are among the highest-IDF ones of any notice, so that a
    file with several notices loses none. A match says where the notice would start; matches that agree on notice and
@@ -87,7 +87,7 @@ def licence_labels(df: DataFrame, doc_id: str = "doc_id", text: str = "text", ra
     vocabulary = tokens.select("word").distinct()
     seen = docs.select(F.explode(F.array_intersect("words", literal(sorted({w for e in _entries() for w in e["words"]}), "array<string>"))).alias("word"))
     spread = seen.groupBy("word").agg(F.count("*").alias("docs"))
-    idf = F.ln(F.lit(docs.select("doc_id").count() + 1.0) / (F.coalesce("docs", F.lit(0)) + 1.0))
+    idf = F.coalesce(F.ln(F.lit(docs.select("doc_id").count() + 1.0) / (F.col("docs") + 1.0)), F.lit(0.0))  # a word that no file has finds nothing
     idf = cut_lineage(vocabulary.join(spread, "word", "left").select("word", idf.alias("idf")))
     weighed = tokens.join(F.broadcast(idf), "word").groupBy(*own).agg(F.array_sort(F.collect_list(F.struct((-F.col("idf")).alias("order"), "word", "offset"))).alias("all"))
     chosen = weighed.withColumn("best", F.slice("all", 1, F.when(F.col("base"), 1).otherwise(rare)))

@@ -59,7 +59,7 @@ WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, {_words("text"
 e(entry, label, base, words, key, key_at) AS (VALUES {rows}),
 t AS MATERIALIZED (SELECT entry, label, base, key, key_at, i - 1 AS off, words[i] AS word FROM (SELECT *, unnest(generate_series(1, len(words))) AS i FROM e)),
 f AS (SELECT word, count(*) AS n FROM (SELECT unnest(list_distinct(w)) AS word FROM d) WHERE word IN (SELECT word FROM t) GROUP BY word),
-k AS (SELECT t.*, ln(((SELECT count(*) FROM d) + 1.0::DOUBLE) / (coalesce(f.n, 0) + 1.0::DOUBLE)) AS idf FROM t LEFT JOIN f USING (word)),
+k AS (SELECT t.*, coalesce(ln(((SELECT count(*) FROM d) + 1.0::DOUBLE) / (f.n + 1.0::DOUBLE)), 0) AS idf FROM t LEFT JOIN f USING (word)),
 b AS MATERIALIZED (SELECT *, sum(idf) OVER (PARTITION BY entry) AS total, count(*) OVER (PARTITION BY entry) AS parts FROM (SELECT *, row_number() OVER (PARTITION BY entry ORDER BY idf DESC, word, off) AS rk FROM k) WHERE rk <= CASE WHEN base THEN 1 ELSE {RARE} END),
 x AS MATERIALIZED (SELECT d.r, d.i - 1 AS place, d.w, b.* FROM (SELECT *, unnest(generate_series(1, len(w))) AS i FROM d) d JOIN b ON b.word = d.w[d.i]),
 m AS (SELECT r, entry, label, base, place - off AS start, off, max(CASE WHEN total > 0 THEN idf / total ELSE 1.0::DOUBLE / parts END) AS part FROM x WHERE place - off + key_at >= 0 AND list_slice(w, place - off + key_at + 1, place - off + key_at + len(key)) = key GROUP BY ALL),
