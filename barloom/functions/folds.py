@@ -1,12 +1,22 @@
 """Ordered folds: values that depend on their own previous output, which no window function can express.
 
-A fold is a class with `step(*values) -> value`, made anew for every symbol. `SQL` gives the same recurrence as states of
+A fold is a class with `step(*values) -> value`, made anew for every symbol. Those that are linear also have
+`many(arrays, valid) -> array`, the same for a run of rows at once, NaN for null. `SQL` gives the same recurrence as states of
 a recursive query: name -> (first row, later rows); in it x0, x1 ... are the inputs, p0, p1 ... the parameters and r.<name>
 the previous state; the last state is the output, null where `SKIP` holds.
 """
 
 from __future__ import annotations
 
+import numpy as np
+
+
+def smoothed(x: np.ndarray, alpha: float, before: float) -> np.ndarray:
+    """Exponential smoothing of values that follow `before`."""
+    import pandas as pd
+
+    return pd.Series(np.concatenate(([before], x))).ewm(alpha=alpha, adjust=False).mean().to_numpy()[1:]
+
 
 class Ema:
     """Exponential smoothing, seeded with the mean of the first `period` values; nulls are passed over."""
@@ -33,6 +43,17 @@ class Ema:
             self.v = self.v * (1 - self.alpha) + x * self.alpha
         return self.v
 
+    def many(self, arrays: list[np.ndarray], valid: np.ndarray) -> np.ndarray:
+        out, x = np.full(len(valid), np.nan), arrays[0][valid]
+        early = min(max(self.period - self.n, 0), len(x))
+        values = [self.step(v) for v in x[:early].tolist()]
+        if early < len(x):
+            rest = smoothed(x[early:], self.alpha, self.v)
+            self.n, self.v = self.n + len(rest), float(rest[-1])
+            values = np.concatenate((np.array(values, float), rest))
+        out[valid] = values
+        return out
+
 
 class DynamicEma:
     """Smoothing by a factor of its own for every row (x1); it starts where the factor and the seed (x2) first exist."""
@@ -65,6 +86,14 @@ class FirstEma:
         self.v = x if self.v is None else self.v * (1 - self.alpha) + x * self.alpha
         return self.v
 
+    def many(self, arrays: list[np.ndarray], valid: np.ndarray) -> np.ndarray:
+        out, x = np.full(len(valid), np.nan), arrays[0][valid]
+        if len(x):
+            values = smoothed(x, self.alpha, x[0] if self.v is None else self.v)
+            self.v = float(values[-1])
+            out[valid] = values
+        return out
+
 
 class Laguerre:
     """Stage `stage` (0-3) of the four-stage filter; stages are 0 before row `start` (from 1)."""

@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barloom.plans.ordered import in_order
+
 SECOND, DAY = 1_000_000, 86_400_000_000
 _UNITS = {"seconds": SECOND, "minutes": 60 * SECOND, "hours": 3600 * SECOND}
 
@@ -245,7 +247,7 @@ def renko(bars: DataFrame, size: float | None = None, autosize: float = 20.0, al
             yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("symbol", pa.string()), ("dt", pa.timestamp("us"))] + [(c, pa.float64()) for c in list(out)[2:]]))
 
     own = bars.select("symbol", "dt", *(F.col(c).cast("double") for c in _BARS[2:]))
-    return own.repartition("symbol").sortWithinPartitions("symbol", "dt").mapInArrow(run, "symbol string, dt timestamp_ntz, open double, high double, low double, close double, volume double, openinterest double")
+    return in_order(own, ["symbol"], "dt").mapInArrow(run, "symbol string, dt timestamp_ntz, open double, high double, low double, close double, volume double, openinterest double")
 
 
 # Calendars and timers

@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from barloom.plans.ordered import in_order
+
 BUY, SELL = 1, -1
 MARKET, CLOSE, LIMIT, STOP, STOP_LIMIT, STOP_TRAIL, STOP_TRAIL_LIMIT, HISTORICAL = "Market", "Close", "Limit", "Stop", "StopLimit", "StopTrail", "StopTrailLimit", "Historical"
 
@@ -681,6 +683,8 @@ class _Run:
         self.prenext, self.nextstart, self.next_open = hook("prenext"), hook("nextstart"), hook("next_open") if broker.cheat_on_open else None
         self.on_order, self.on_trade, self.on_cash, self.on_fund, self.on_timer = map(hook, ("notify_order", "notify_trade", "notify_cashvalue", "notify_fund", "notify_timer"))
         self.needs, self.timers, self.started = getattr(strategy, "needs", ()), getattr(strategy, "timers", ()), False
+        #: Whether a bar without orders changes nothing but the last price, and the strategy wants to know of nothing else.
+        self.calm = not (self.next_open or self.on_trade or self.on_cash or self.on_fund or self.timers or self.needs or self.prenext or self.nextstart) and broker.commission.stock and not (broker.commission.interest or broker.commissions)
         if hook("start"):
             strategy.start(broker)
 
@@ -719,6 +723,20 @@ class _Run:
                 return
         s.next(b, shown)
 
+    def step_one(self, bar: dict) -> float:
+        """The same for an account of one symbol; returns its value."""
+        b = self.broker
+        if self.calm and not (b.submitted or b.pending or b.old_orders or b.old_funds or b.told):
+            own = b.books.get(None) or b.book()
+            own.bar, own.bars, own.settled = bar, own.bars + 1, bar["close"]
+            self.strategy.next(b, bar)
+        else:
+            self.step({None: bar}, bar)
+            own = b.books[None]
+        if b.fund_now:
+            return b.value()
+        return b.cash + own.position.size * bar["close"] if self.calm else b.value()
+
     def rows(self) -> list[dict]:
         b = self.broker
         if not (b.finished or b.closed_trades or b.executions or b.histories):
@@ -744,34 +762,43 @@ def _trade_row(t: Trade) -> dict:
     return {"kind": "trade", "dt": t.dtclose, "ref": t.ref, "price": t.price, "comm": t.commission, "pnl": t.pnl, "pnlcomm": t.pnlcomm, "long": t.long, "dtopen": t.dtopen, "dtclose": t.dtclose, "barlen": t.barclose - t.baropen, "tradeid": t.tradeid, "asset": t.symbol}
 
 
-def simulate(bars: DataFrame, strategy: Callable[[dict], object], broker: Callable[[dict], Broker] = lambda first: Broker(), keys: tuple[str, ...] = ("symbol",), asset: str | None = None, variants: list[dict] | None = None) -> DataFrame:
+def simulate(bars: DataFrame, strategy: Callable[[dict], object], broker: Callable[[dict], Broker] = lambda first: Broker(), keys: tuple[str, ...] = ("symbol",), asset: str | None = None, variants: list[dict] | None = None, spread: int = 1) -> DataFrame:
     """Events of all runs: the keys, and rows of kind order (when it ends), open (orders left at the end), execution, trade,
     history (of trades, if the broker keeps it) and equity.
 
     `strategy` and `broker` make a run's own objects from its first row, which has the parameters of the run. With `asset`, a column
     that isn't a key, a run is one account over several symbols: bars of one time come together, as a dict by symbol. With
     `variants`, every run is done once for each of them, in one pass over its bars: they are added to the row that the makers
-    get, their number is the column param_id, and nothing is copied or shuffled for them.
+    get, and their number is the column param_id. Bars are copied and shuffled `spread` times (never more than there are variants),
+    and each copy does its share of them: few long series keep more tasks busy then.
     """
-    keys = tuple(keys)
+    keys, spread = tuple(keys), max(1, min(spread, len(variants or ())))
+    if spread > 1:
+        bars = bars.withColumn("_share", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
     shown_keys = (*keys, "param_id") if variants is not None else keys
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, runs, out, curve, schema = None, [], [], [], None
+        last, runs, out, curve, schema, mine, labels = None, [], [], [], None, [], []
         shown = (*shown_keys, "dt", "cash", "value", "fundvalue", "size", "price")
         held: tuple | None = None  # time and bars that wait for others of the same time
+        parts, now = ((*keys, "_share") if spread > 1 else keys), None
 
         def label(k: int) -> tuple:
-            return (*last, k) if variants is not None else last
+            return (*last, mine[k][0]) if variants is not None else last
 
-        def step(dt: datetime, new: dict, given: object) -> None:
+        def step(dt: datetime, new: dict | None, given: dict) -> None:
             for k, r in enumerate(runs):
-                r.step(new, given)
-                key, b = label(k), r.broker
-                named = dict(zip(shown_keys, key, strict=True))
-                out.extend(named | x for x in r.rows())
-                value = b.value()
-                p = b.position if asset is None else None
+                b = r.broker
+                if new is None:
+                    value = r.step_one(given)
+                else:
+                    r.step(new, given)
+                    value = b.value()
+                key = labels[k]
+                if b.finished or b.executions or b.closed_trades:
+                    named = dict(zip(shown_keys, key, strict=True))
+                    out.extend(named | x for x in r.rows())
+                p = b.books[None].position if new is None else None
                 curve.append((*key, dt, b.cash, value, b.fund_now[0] if b.fund_now else value / b.fund_shares, p.size if p else None, p.price if p else None))
 
         def end() -> None:
@@ -788,7 +815,10 @@ def simulate(bars: DataFrame, strategy: Callable[[dict], object], broker: Callab
                 curve.clear()
 
         def begin(bar: dict) -> list[_Run]:
-            return [_Run(broker(first), strategy(first)) for first in ([bar | v for v in variants] if variants is not None else [bar])]
+            share = bar.get("_share", 0) if spread > 1 else 0
+            mine[:] = list(enumerate(variants))[share::spread] if variants is not None else [(0, {})]
+            labels[:] = [label(k) for k in range(len(mine))]
+            return [_Run(broker(first), strategy(first)) for first in [bar | v for _, v in mine]]
 
         for batch in batches:
             if schema is None:
@@ -796,15 +826,16 @@ def simulate(bars: DataFrame, strategy: Callable[[dict], object], broker: Callab
             names = batch.schema.names
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 bar = dict(zip(names, row, strict=True))
-                key = tuple(bar[k] for k in keys)
-                if held and (key != last or bar["dt"] != held[0]):
+                key = tuple(bar[k] for k in parts)
+                if held and (key != now or bar["dt"] != held[0]):
                     step(held[0], held[1], held[1])
                     held = None
-                if key != last:
+                if key != now:
                     end()
-                    last, runs = key, begin(bar)
+                    last, now = key[: len(keys)], key
+                    runs = begin(bar)
                 if asset is None:
-                    step(bar["dt"], {None: bar}, bar)
+                    step(bar["dt"], None, bar)
                 else:
                     held = held or (bar["dt"], {})
                     held[1][bar[asset]] = bar
@@ -818,7 +849,8 @@ def simulate(bars: DataFrame, strategy: Callable[[dict], object], broker: Callab
     from pyspark.sql import types as T
 
     fields = T.StructType([bars.schema[k] for k in keys] + ([T.StructField("param_id", T.LongType())] if variants is not None else []) + T.DataType.fromDDL(_DDL).fields)
-    return bars.repartition(*keys).sortWithinPartitions(*keys, "dt", *([asset] if asset else [])).mapInArrow(run, fields)
+    by = (*keys, "_share") if spread > 1 else keys
+    return in_order(bars, by, "dt", *([asset] if asset else [])).mapInArrow(run, fields)
 
 
 def orders(events: DataFrame, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from barloom.functions.scalar import max_of, min_of
 from barloom.operators.indicators import CLOSE, HIGH, LOW, OPEN, VOLUME, gain, loss
 from barloom.plans.lines import Line, col, cumulative, fold, lag, last_known, lead, op, over, rolling, row_number
-from barloom.plans.ordered import numbered_rows
+from barloom.plans.ordered import in_order, numbered_rows
 
 Lines = dict[str, Line]
 
@@ -362,7 +362,7 @@ def greedy_pick(rows: DataFrame, keys: list[str], order: list[Column], cooldown_
                     taken = [*taken, r["dt"]] if limit else [r["dt"]]
             yield batch.filter(pa.array(keep))
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, T.StructType(schema.fields))
+    return in_order(rows, keys, *order).mapInArrow(run, T.StructType(schema.fields))
 
 
 # Checks

@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from barloom.plans.ordered import in_order
+
 
 @dataclass
 class _Entry:
@@ -91,7 +93,7 @@ def multi_take_profit(bars: DataFrame, entries: str, takes: tuple[float, ...] =
 
     fields = T.StructType([bars.schema[k] for k in keys] + T.DataType.fromDDL("dt timestamp_ntz, pnl double, outcome long, exit timestamp_ntz, bars long, take_hits long, bars_to_take long").fields)
     own = bars.select(*keys, "dt", "high", "low", "close", F.coalesce(F.col(entries).cast("boolean"), F.lit(False)).alias(entries))
-    return own.repartition(*keys).sortWithinPartitions(*keys, "dt").mapInArrow(run, fields)
+    return in_order(own, keys, "dt").mapInArrow(run, fields)
 
 
 def pair_trading(pairs: DataFrame, upper: float = 2.1, lower: float = -2.1, up_medium: float = 0.5, low_medium: float = -0.5, cash: float = 10_000.0, keys: tuple[str, ...] = ("pair",)) -> DataFrame:
@@ -121,4 +123,4 @@ def pair_trading(pairs: DataFrame, upper: float = 2.1, lower: float = -2.1, up_m
             yield pa.RecordBatch.from_pylist(out, schema=schema)
 
     fields = T.StructType([pairs.schema[k] for k in keys] + T.DataType.fromDDL("dt timestamp_ntz, status long, size_y double, size_x double, value double").fields)
-    return pairs.select(*keys, "dt", "y", "x", "zscore").repartition(*keys).sortWithinPartitions(*keys, "dt").mapInArrow(run, fields)
+    return in_order(pairs.select(*keys, "dt", "y", "x", "zscore"), keys, "dt").mapInArrow(run, fields)

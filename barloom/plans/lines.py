@@ -13,11 +13,14 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from barloom.functions.folds import FOLDS
+from barloom.plans.ordered import in_order
 
 
 class Line:
@@ -242,7 +245,7 @@ def with_lines(df: DataFrame, lines: dict[str, Line], key: str = "symbol", order
             continue
         inputs = [(f"{n}_{k}", plan.text(a)) for n, x in nodes for k, a in enumerate(x.args)]
         if not sorted_:
-            df = df.repartition(*names).sortWithinPartitions(*names, *(o.strip() for o in order.split(",")))
+            df = in_order(df, names, *(o.strip() for o in order.split(",")))
         df, sorted_ = _fold_stage(df.selectExpr("*", *(f"CAST({text} AS DOUBLE) AS {n}" for n, text in inputs)), names, nodes), True
     return df.selectExpr(*base, *(f"{plan.text(x)} AS {n}" for n, x in lines.items()))
 
@@ -251,19 +254,36 @@ def _fold_stage(df: DataFrame, names: list[str], nodes: list[tuple[str, Line]])
     keep = [c for c in df.columns if not any(c.startswith(f"{n}_") for n, _ in nodes)]
     makers = [(n, x.what, x.params, [f"{n}_{k}" for k in range(len(x.args))]) for n, x in nodes]
 
+    def codes(column: pa.Array) -> np.ndarray:
+        """Whole numbers that tell a column's values apart within the batch; a null is a value."""
+        return pc.fill_null(column.dictionary_encode().indices, -1).to_numpy(zero_copy_only=False)
+
+    def several(fold, arrays: list[np.ndarray], valid: list[np.ndarray]) -> np.ndarray:
+        if hasattr(fold, "many"):
+            return fold.many(arrays, np.logical_and.reduce(valid))
+        columns = [[v if ok else None for v, ok in zip(x.tolist(), good.tolist(), strict=True)] for x, good in zip(arrays, valid, strict=True)]
+        return np.array([np.nan if v is None else v for v in map(fold.step, *columns)], float)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, steps = object(), []
+        last, folds = object(), []
         for batch in batches:
             table = {c: batch.column(k) for k, c in enumerate(batch.schema.names)}
-            keys = list(zip(*(table[c].to_pylist() for c in names), strict=True))
-            inputs = [list(zip(*(table[c].to_pylist() for c in columns), strict=True)) for *_, columns in makers]
-            out = [[None] * len(keys) for _ in makers]
-            for i, now in enumerate(keys):
+            n = batch.num_rows
+            new = np.zeros(n, bool)
+            new[:1] = True
+            for c in names:
+                own = codes(table[c])
+                new[1:] |= own[1:] != own[:-1]
+            edges = [*np.flatnonzero(new).tolist(), n]
+            inputs = {c: (pc.fill_null(table[c], np.nan).to_numpy(zero_copy_only=False), table[c].is_valid().to_numpy(zero_copy_only=False)) for *_, columns in makers for c in columns}
+            out = [np.full(n, np.nan) for _ in makers]
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                now = tuple(table[c][a].as_py() for c in names)
                 if now != last:
-                    last, steps = now, [FOLDS[what](*params).step for _, what, params, _ in makers]
-                for k, step in enumerate(steps):
-                    out[k][i] = step(*inputs[k][i])
-            yield pa.RecordBatch.from_arrays([*(table[c] for c in keep), *(pa.array(v, pa.float64()) for v in out)], [*keep, *(n for n, *_ in makers)])
+                    last, folds = now, [FOLDS[what](*params) for _, what, params, _ in makers]
+                for k, (fold, (*_, columns)) in enumerate(zip(folds, makers, strict=True)):
+                    out[k][a:b] = several(fold, [inputs[c][0][a:b] for c in columns], [inputs[c][1][a:b] for c in columns])
+            yield pa.RecordBatch.from_arrays([*(table[c] for c in keep), *(pa.array(v, pa.float64(), from_pandas=True) for v in out)], [*keep, *(n for n, *_ in makers)])
 
     schema = T.StructType([df.schema[c] for c in keep] + [T.StructField(n, T.DoubleType()) for n, _ in nodes])
     return df.mapInArrow(run, schema)

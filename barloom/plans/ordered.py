@@ -34,3 +34,10 @@ def carried_forward(df: DataFrame, order: str, columns: list[str]) -> DataFrame:
     own = Window.partitionBy("_range").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = rows.withColumns({c: F.last(c, ignorenulls=True).over(own) for c in columns}).join(F.broadcast(before), "_range")
     return out.withColumns({c: F.coalesce(c, f"_before_{k}") for k, c in enumerate(columns)}).select(df.columns)
+
+
+def in_order(df: DataFrame, keys: list[str], *order) -> DataFrame:
+    """A key's rows together and in order, for a pass in Python. The number of partitions is given: rows of many symbols may
+    be few bytes, which would be merged into one task, but they are much work there."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys).sortWithinPartitions(*keys, *order)

@@ -147,11 +147,11 @@ def q_commission_cash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cash on the bars on which a position was closed: what all trades and charges have left."""
     ev = _commission_events(spark, sf_dir)
     closed = B.trades(ev, _KEYS).select(*_KEYS, F.col("dtclose").alias("dt"))
-    return _named(B.equity(ev, _KEYS).join(closed, [*_KEYS, "dt"], "left_semi"), list(COMMISSIONS)).select("name", "symbol", "dt", F.round("cash", 2).alias("cash"))
+    return _named(B.equity(ev, _KEYS).join(closed, [*_KEYS, "dt"], "left_semi"), list(COMMISSIONS)).select("name", "symbol", "dt", F.floor(F.col("cash") + 0.123456).alias("cash"))  # no sum of prices lies on that edge
 
 
 _INTEREST = "CASE WHEN name = 'interest' THEN date_diff('day', dtopen, dtclose) * 2 * entry * 0.05 / 365 ELSE 0 END"
-_COMMISSION_CASH_SQL = f"WITH {_COMMISSIONS_CTE} SELECT name, symbol, dtclose AS dt, round({AMPLE}::DOUBLE + sum(pnl - comm - {_INTEREST}) OVER (PARTITION BY name, symbol ORDER BY k ROWS UNBOUNDED PRECEDING), 2) AS cash FROM c"
+_COMMISSION_CASH_SQL = f"WITH {_COMMISSIONS_CTE} SELECT name, symbol, dtclose AS dt, floor({AMPLE}::DOUBLE + 0.123456 + sum(pnl - comm - {_INTEREST}) OVER (PARTITION BY name, symbol ORDER BY k ROWS UNBOUNDED PRECEDING))::BIGINT AS cash FROM c"
 
 FILLERS = {"fixed": B.fixed_size(2), "bar": B.bar_percent(50), "points": B.bar_points(20_000.0, 1000)}
 

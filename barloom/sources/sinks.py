@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from barloom.plans.ordered import in_order
+
 
 def write_csv(df: DataFrame, path: str, keys: tuple[str, ...] = ("symbol",), order: str = "dt", sep: str = ",", counter: bool = True, rounding: int | None = None, compression: str | None = None) -> None:
     """Rows in order within every key, nulls as nothing; `counter` puts a row number of the key in front."""
@@ -96,4 +98,4 @@ def write_binary(df: DataFrame, folder: str, intraday: bool = False) -> DataFram
             yield close()
 
     own = df.select("symbol", "dt", "open", "high", "low", "close", "volume", "openinterest")
-    return own.repartition("symbol").sortWithinPartitions("symbol", "dt").mapInArrow(run, "symbol string, file string, records long")
+    return in_order(own, ["symbol"], "dt").mapInArrow(run, "symbol string, file string, records long")
