@@ -137,23 +137,36 @@ def int_lists(parts: list[np.ndarray], kind: type) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(flat_))
 
 
+def ends_of(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A second hash of each word, of its length and its first and last eight bytes: all of a word of up to 16 bytes."""
+    size, out = ends - starts, mix((ends - starts).astype(np.uint64))
+    for at, seed in ((starts[:, None] + np.arange(8), 3), (ends[:, None] - 1 - np.arange(8), 5)):
+        inside = (at >= starts[:, None]) & (at < ends[:, None])
+        eight = np.where(inside, data[np.clip(at, 0, max(len(data) - 1, 0))], 0).astype(np.uint8) if len(data) else np.zeros(at.shape, np.uint8)
+        out = mix(out * np.uint64(0xD1342543DE82EF95) + np.uint64(seed) + np.ascontiguousarray(eight).view(np.uint64).ravel())
+    return np.where(size > 0, out, np.uint64(0))
+
+
 class Memo:
-    """Values of words by fingerprint, in a table of fixed size: of words that want the same slot the last one stays."""
+    """Values of words by two hashes, 128 bits, in a table of fixed size: of words that want the same slot the last one stays."""
 
     def __init__(self, kind: type, slots: int = 1 << 20):
-        self.shift, self.keys, self.values = np.uint64(64 - (slots.bit_length() - 1)), np.zeros(slots, np.uint64), np.zeros(slots, kind)
+        self.shift = np.uint64(64 - (slots.bit_length() - 1))
+        self.keys, self.seconds, self.values = np.zeros(slots, np.uint64), np.zeros(slots, np.uint64), np.zeros(slots, kind)
 
-    def __call__(self, prints: np.ndarray, compute: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    def __call__(self, prints: np.ndarray, seconds: np.ndarray, compute: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
         """The value of each word; `compute` gives those of the words at the given places."""
         slot = prints >> self.shift
-        known = (self.keys[slot] == prints) & (prints != 0)
+        known = (self.keys[slot] == prints) & (self.seconds[slot] == seconds) & (prints != 0)
         out = self.values[slot]
         new = np.flatnonzero(~known)
         if len(new):
-            distinct, one, back = np.unique(prints[new], return_index=True, return_inverse=True)
-            value = np.asarray(compute(new[one]), self.values.dtype)
-            out[new] = value[back]
-            place, last = np.unique((distinct >> self.shift)[::-1], return_index=True)
-            last = len(distinct) - 1 - last
-            self.keys[place], self.values[place] = distinct[last], value[last]
+            order = np.lexsort((seconds[new], prints[new]))
+            a, b = prints[new][order], seconds[new][order]
+            first = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+            one = new[order[first]]
+            value = np.asarray(compute(one), self.values.dtype)
+            out[new[order]] = value[np.cumsum(first) - 1]
+            place = slot[one]
+            self.keys[place], self.seconds[place], self.values[place] = prints[one], seconds[one], value
         return out

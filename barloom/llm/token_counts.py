@@ -6,7 +6,8 @@ without a piece of its own is unknown, worth the least score less 10, and is cou
 has byte pieces, else runs of unknown characters count as one.
 
 Texts start with the word mark and blanks are word marks. No piece has a mark behind another character, or a line feed:
-texts are cut before runs of blanks and around line feeds, and each distinct chunk is counted once for a block of texts.
+texts are cut before runs of blanks and around line feeds, and each distinct chunk is counted once for a block of texts and
+kept in a table, by two hashes of together 128 bits.
 A vocabulary that breaks this is used on uncut texts.
 """
 
@@ -20,7 +21,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .arrays import Memo, blocks, fingerprints, flat, lean
+from .arrays import Memo, blocks, ends_of, fingerprints, flat, lean
 from .common import numbered, schema_with
 
 MARK = "▁"
@@ -81,8 +82,8 @@ class UnigramCounter:
         def compute(at: np.ndarray) -> list[int]:
             return [self.count(raw[a:b].decode().replace(" ", MARK)) for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
 
-        value = self.memo(fingerprints(data, starts, ends), compute)
-        return np.concatenate(([0], np.cumsum(value, dtype=np.int64)))[np.searchsorted(starts, offsets)][1:] - np.concatenate(([0], np.cumsum(value, dtype=np.int64)))[np.searchsorted(starts, offsets)][:-1]
+        value = self.memo(fingerprints(data, starts, ends), ends_of(data, starts, ends), compute)
+        return np.diff(np.concatenate(([0], np.cumsum(value, dtype=np.int64)))[np.searchsorted(starts, offsets)])
 
 
 @lru_cache(2)

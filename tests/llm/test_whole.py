@@ -260,3 +260,29 @@ def test_ties_of_rarity(spark):
     for most in (100_000, 0):
         got = {r.doc_id: (r.n_hit, list(r["items"])) for r in decontaminate.benchmark_hits(table(spark, rows), items, broadcast_windows=most, broadcast_words=most).collect()}
         assert got == {1: (12, ["1", "3"]), 2: (5, ["2", "3"]), 3: (0, [])}
+
+
+def test_memo_of_words_with_equal_fingerprints():
+    """A table that is told nothing by the first hash still gives each word its own value; slots are shared."""
+    from barloom.llm.arrays import Memo, ends_of
+
+    texts = [b"one", b"two", b"one", b"three", b"", b"a longer word than sixteen bytes", b"two"]
+    data, ends = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([len(t) for t in texts])
+    starts = ends - [len(t) for t in texts]
+    memo = Memo(np.int64, 16)
+    for prints in (np.full(len(texts), 1 << 63, np.uint64), np.arange(len(texts), dtype=np.uint64)):
+        for _ in range(2):
+            assert list(memo(prints, ends_of(data, starts, ends), lambda at: [len(texts[k]) for k in at])) == [len(t) for t in texts]
+
+
+@pytest.mark.parametrize("size", [1024, 4096])
+def test_counts_of_words_with_equal_polynomials(size):
+    import pyarrow as pa
+    import sentencepiece
+    from tokenizers import Tokenizer, models
+
+    path = vocabulary("piece_bpe_32k.model")
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    unigram = Tokenizer(models.Unigram([(sp.id_to_piece(i), sp.get_score(i)) for i in range(sp.get_piece_size())], 0, True))
+    texts = [f"x {w}" for w in thue_morse(size)]
+    assert list(token_counts.load(path).counts(pa.array(texts))) == [len(unigram.encode(token_counts.MARK + t.replace(" ", token_counts.MARK)).ids) for t in texts]
