@@ -326,7 +326,7 @@ _SUMMARY_SQL = f"SELECT d.symbol, d.max_drawdown, d.max_len, s.* EXCLUDE (symbol
 def q_multi_take_profit(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = with_lines(bars_orders(spark, sf_dir), {"x": crossing(CLOSE, sma(CLOSE, 10))}).withColumn("enter", F.col("x") > 0)
     out = multi_take_profit(b, "enter", (0.05, 0.1, 0.2), stop=0.1, hold=30, trail=0.05)
-    return out.select("symbol", "dt", F.round("pnl", 6).alias("pnl"), "outcome", "exit", "bars", "take_hits", "bars_to_take")
+    return out.select("symbol", "dt", (F.round("pnl", 6) + 0).alias("pnl"), "outcome", "exit", "bars", "take_hits", "bars_to_take")
 
 
 _PAIR_LINES = ols_transformation(col("y"), col("x"), period=20)
@@ -343,12 +343,30 @@ def q_pair_zscore(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_pair_trading(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pair_trading(pair_frame(spark, sf_dir), 1.5, -1.5, cash=5_000_000.0).select("pair", "dt", "status", "size_y", "size_x", F.round("value", 2).alias("value"))
+    return pair_trading(pair_frame(spark, sf_dir), 1.5, -1.5, cash=5_000_000.0).select("pair", "dt", "status", "size_y", "size_x", F.round(F.signum("value") * F.log1p(F.abs("value")), 6).alias("log_value"))
 
 
 _MERGED = f"WITH b AS ({ORDERS_SQL}), t AS (SELECT DISTINCT dt FROM b WHERE symbol IN ('1-URGENT', '5-LOW')), u AS (SELECT * FROM b WHERE symbol = '1-URGENT'), l AS (SELECT * FROM b WHERE symbol = '5-LOW') SELECT 1 AS pair, t.dt, u.close AS y, l.close AS x FROM t ASOF JOIN u ON t.dt >= u.dt ASOF JOIN l ON t.dt >= l.dt"
 
 
+_SCORED = to_sql(_MERGED, {"zscore": _PAIR_LINES["zscore"]}, "pair, dt, y, x, zscore", key="pair")
+_PAIR_SQL = f"""WITH RECURSIVE p AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY pair ORDER BY dt) AS rn FROM ({_SCORED})),
+r AS (SELECT DISTINCT pair, 0::BIGINT AS rn, NULL::TIMESTAMP AS dt, 5000000::DOUBLE AS money, 0::DOUBLE AS a, 0::DOUBLE AS b, 0 AS status, 0::DOUBLE AS value FROM p
+UNION ALL SELECT pair, rn, dt, CASE WHEN want <> status THEN value - want * floor(value / 2 / y) * y + want * floor(value / 2 / x) * x ELSE money END, CASE WHEN want <> status THEN want * floor(value / 2 / y) ELSE a END, CASE WHEN want <> status THEN -want * floor(value / 2 / x) ELSE b END, want, value
+FROM (SELECT r.pair, p.rn, p.dt, p.y, p.x, r.money, r.a, r.b, r.status, r.money + r.a * p.y + r.b * p.x AS value, CASE WHEN p.zscore IS NULL THEN r.status WHEN p.zscore > 1.5 AND r.status <> -1 THEN -1 WHEN p.zscore < -1.5 AND r.status <> 1 THEN 1 WHEN r.status <> 0 AND p.zscore > -0.5 AND p.zscore < 0.5 THEN 0 ELSE r.status END AS want FROM r JOIN p ON p.pair = r.pair AND p.rn = r.rn + 1))
+SELECT CAST(pair AS INTEGER) AS pair, dt, CAST(status AS BIGINT) AS status, a AS size_y, b AS size_x, round(sign(value) * ln(1 + abs(value)), 6) AS log_value FROM r WHERE rn > 0"""
+
+_ENTERED = to_sql(ORDERS_SQL, {"x": crossing(CLOSE, sma(CLOSE, 10))}, "symbol, dt, high, low, close, x")
+_GAIN, _LEFT = ("CASE hits WHEN 0 THEN 0 WHEN 1 THEN 0.025::DOUBLE WHEN 2 THEN 0.055::DOUBLE ELSE 0.095::DOUBLE END", "CASE hits WHEN 0 THEN 1 WHEN 1 THEN 0.5::DOUBLE WHEN 2 THEN 0.2::DOUBLE ELSE 0 END")
+_TAKEN = "greatest(r.hits, (b.high >= r.price * 1.05::DOUBLE)::INT + (b.high >= r.price * 1.1::DOUBLE)::INT + (b.high >= r.price * 1.2::DOUBLE)::INT)"
+_TAKES_SQL = f"""WITH RECURSIVE b AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY dt) AS rn, count(*) OVER (PARTITION BY symbol) AS n FROM ({_ENTERED})),
+r AS (SELECT symbol, dt, rn AS made, close AS price, 0::BIGINT AS k, 0 AS hits, close * 0.9::DOUBLE AS stop, close AS best, NULL::BIGINT AS first, rn = n AS done, close AS leave, dt AS at_ FROM b WHERE x > 0
+UNION ALL SELECT symbol, dt, made, price, k, hits, CASE WHEN hits > 0 THEN greatest(stop, greatest(best, high) * 0.95::DOUBLE) ELSE stop END, greatest(best, high), first, stopped OR hits = 3 OR k >= 30 OR made + k = n, CASE WHEN stopped THEN stop WHEN hits = 3 THEN price ELSE close END, now
+FROM (SELECT r.symbol, r.dt, r.made, r.price, r.k + 1 AS k, b.low <= r.stop AS stopped, CASE WHEN b.low <= r.stop THEN r.hits ELSE {_TAKEN} END AS hits, r.stop, r.best, CASE WHEN b.low > r.stop AND r.first IS NULL AND {_TAKEN} > 0 THEN r.k + 1 ELSE r.first END AS first, b.high, b.close, b.dt AS now, b.n FROM r JOIN b ON b.symbol = r.symbol AND b.rn = r.made + r.k + 1 WHERE NOT r.done)),
+f AS (SELECT *, {_GAIN} + {_LEFT} * (leave / price - 1) AS pnl FROM r WHERE done)
+SELECT symbol, dt, round(pnl, 6) + 0 AS pnl, CAST(CASE WHEN pnl > 0 THEN 1 WHEN pnl < 0 THEN -1 ELSE 0 END AS BIGINT) AS outcome, at_ AS exit, k AS bars, CAST(hits AS BIGINT) AS take_hits, first AS bars_to_take FROM f"""
+
+
 def mining_queries() -> dict:
     values = duck_sql(_VALUES, bars=ORDERS_SQL)
     return {
@@ -361,5 +379,5 @@ def mining_queries() -> dict:
         "mine_walk_forward": (q_walk_forward, _WALK_SQL), "mine_walk_forward_whole": (q_walk_forward_whole, _WALK_WHOLE_SQL), "mine_walk_forward_stats": (q_walk_forward_stats, _WALK_STATS_SQL), "mine_scores": (q_scores, _SCORES_SQL), "mine_objective": (q_objective, _OBJECTIVE_SQL), "mine_annualized": (q_annualized, _ANNUALIZED_SQL), "mine_ratios": (lambda s, d: spark_sql(M.RATIOS, values=spark_sql(_VALUES, bars=bars_orders(s, d))), duck_sql(M.RATIOS, values=values)), "mine_loss_streaks": (lambda s, d: spark_sql(M.LOSS_STREAKS, values=spark_sql(_VALUES, bars=bars_orders(s, d))), duck_sql(M.LOSS_STREAKS, values=values)),
         "mine_events": (q_events, _EVENTS_SQL), "pick_cooldown": (q_cooldown, _COOLDOWN_SQL), "pick_topk_per_day": (q_topk, _TOPK_SQL), "pick_one_at_a_time": (q_one_at_a_time, _ONE_SQL), "mine_correlations": (q_correlations, _CORR_SQL), "mine_sanity": (q_sanity, _SANITY_SQL),
         "sim_cross_trades": (q_cross_trades, _TRADES_SQL), "sim_cross_equity": (q_cross_equity, _EQUITY_SQL), "sim_order_types": (q_scenario, None), "sim_signals": (q_signals, None), "sim_sweep": (q_sweep, _SWEEP_SQL), "sim_backtest_summary": (q_backtest_summary, _SUMMARY_SQL),
-        "sim_multi_take_profit": (q_multi_take_profit, None), "pair_zscore": (q_pair_zscore, to_sql(_MERGED, {"zscore": _PAIR_LINES["zscore"]}, "pair, dt, round(zscore, 5) AS zscore", key="pair")), "sim_pair_trading": (q_pair_trading, None),
+        "sim_multi_take_profit": (q_multi_take_profit, _TAKES_SQL), "pair_zscore": (q_pair_zscore, to_sql(_MERGED, {"zscore": _PAIR_LINES["zscore"]}, "pair, dt, round(zscore, 5) AS zscore", key="pair")), "sim_pair_trading": (q_pair_trading, _PAIR_SQL),
     }
