@@ -343,7 +343,7 @@ def q_pair_zscore(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_pair_trading(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pair_trading(pair_frame(spark, sf_dir), 1.5, -1.5, cash=5_000_000.0).select("pair", "dt", "status", "size_y", "size_x", F.round(F.signum("value") * F.log1p(F.abs("value")), 6).alias("log_value"))
+    return pair_trading(pair_frame(spark, sf_dir), 1.5, -1.5, cash=5_000_000.0).select("pair", "dt", "status", *(F.round(F.signum(c) * F.log1p(F.abs(c)), 6).alias(f"log_{c}") for c in ("size_y", "size_x", "value")))  # the account leaves all bounds
 
 
 _MERGED = f"WITH b AS ({ORDERS_SQL}), t AS (SELECT DISTINCT dt FROM b WHERE symbol IN ('1-URGENT', '5-LOW')), u AS (SELECT * FROM b WHERE symbol = '1-URGENT'), l AS (SELECT * FROM b WHERE symbol = '5-LOW') SELECT 1 AS pair, t.dt, u.close AS y, l.close AS x FROM t ASOF JOIN u ON t.dt >= u.dt ASOF JOIN l ON t.dt >= l.dt"
@@ -354,7 +354,7 @@ _PAIR_SQL = f"""WITH RECURSIVE p AS MATERIALIZED (SELECT *, row_number() OVER (P
 r AS (SELECT DISTINCT pair, 0::BIGINT AS rn, NULL::TIMESTAMP AS dt, 5000000::DOUBLE AS money, 0::DOUBLE AS a, 0::DOUBLE AS b, 0 AS status, 0::DOUBLE AS value FROM p
 UNION ALL SELECT pair, rn, dt, CASE WHEN want <> status THEN value - want * floor(value / 2 / y) * y + want * floor(value / 2 / x) * x ELSE money END, CASE WHEN want <> status THEN want * floor(value / 2 / y) ELSE a END, CASE WHEN want <> status THEN -want * floor(value / 2 / x) ELSE b END, want, value
 FROM (SELECT r.pair, p.rn, p.dt, p.y, p.x, r.money, r.a, r.b, r.status, r.money + r.a * p.y + r.b * p.x AS value, CASE WHEN p.zscore IS NULL THEN r.status WHEN p.zscore > 1.5 AND r.status <> -1 THEN -1 WHEN p.zscore < -1.5 AND r.status <> 1 THEN 1 WHEN r.status <> 0 AND p.zscore > -0.5 AND p.zscore < 0.5 THEN 0 ELSE r.status END AS want FROM r JOIN p ON p.pair = r.pair AND p.rn = r.rn + 1))
-SELECT CAST(pair AS INTEGER) AS pair, dt, CAST(status AS BIGINT) AS status, a AS size_y, b AS size_x, round(sign(value) * ln(1 + abs(value)), 6) AS log_value FROM r WHERE rn > 0"""
+SELECT CAST(pair AS INTEGER) AS pair, dt, CAST(status AS BIGINT) AS status, round(sign(a) * ln(1 + abs(a)), 6) AS log_size_y, round(sign(b) * ln(1 + abs(b)), 6) AS log_size_x, round(sign(value) * ln(1 + abs(value)), 6) AS log_value FROM r WHERE rn > 0"""
 
 _ENTERED = to_sql(ORDERS_SQL, {"x": crossing(CLOSE, sma(CLOSE, 10))}, "symbol, dt, high, low, close, x")
 _GAIN, _LEFT = ("CASE hits WHEN 0 THEN 0 WHEN 1 THEN 0.025::DOUBLE WHEN 2 THEN 0.055::DOUBLE ELSE 0.095::DOUBLE END", "CASE hits WHEN 0 THEN 1 WHEN 1 THEN 0.5::DOUBLE WHEN 2 THEN 0.2::DOUBLE ELSE 0 END")
