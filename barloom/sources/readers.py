@@ -110,7 +110,7 @@ def frame(spark: SparkSession, pdf, symbol: str, columns: dict[str, str | int |
         out[n] = pdf[found].astype(float).to_numpy() if found is not None else [None] * len(pdf)
     times = pdf.index if datetime is None else pdf.iloc[:, datetime] if isinstance(datetime, int) else pdf[names[datetime.lower()]]
     table = pa.table({"symbol": [symbol] * len(pdf), "dt": pa.array(list(times.to_pydatetime() if hasattr(times, "to_pydatetime") else times), pa.timestamp("us"))} | {n: pa.array(v, pa.float64()) for n, v in out.items()})
-    return spark.createDataFrame(table)
+    return spark.createDataFrame(table).withColumn("dt", F.col("dt").cast("timestamp_ntz"))
 
 
 def rows(spark: SparkSession, iterable, symbol: str) -> DataFrame:
