@@ -8,8 +8,8 @@
 
 Only 8 bytes a window are shuffled, and the texts once: both uses of the chunks read the same exchange. The range is taken
 from a second, independent hash, so windows are told apart by 64 bits and those of the range, whose number grows with the
-input: of n distinct windows about n*n / 2**(65 + bits) pairs are mistaken for each other, under 1 even among the 10**13
-windows of 100 TB (24 bits). Each word's own hash has 64 bits, of words over 64 bytes by another function.
+input: of n distinct windows about n*n / 2**(65 + bits) pairs are mistaken for each other, about 1 among the 10**13
+windows of 100 TB (24 bits), where a chunk's own windows, told apart by 64 bits, count as well. Each word's own hash has 64 bits, of words over 64 bytes by another function.
 """
 
 from __future__ import annotations
