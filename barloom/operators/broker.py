@@ -278,7 +278,8 @@ class Broker:
 
     `symbol` is the one that orders, sizers and `position` mean by default: that of the bar, in an account of several symbols the
     one set last. `commissions` has those of single symbols. `order_history` lists (dt, size, price[, symbol]), orders that are
-    filled as given; `fund_history` lists (dt, share value, net asset value), which are reported from then on.
+    filled as given; `fund_history` lists (dt, share value, net asset value), which are reported from then on. With `overdraft`
+    cash may fall below nothing: no order is refused for want of it.
     """
 
     cash: float = 10_000.0
@@ -294,6 +295,7 @@ class Broker:
     order_history: list[tuple] = field(default_factory=list)
     fund_history: list[tuple] = field(default_factory=list)
     trade_history: bool = False
+    overdraft: bool = False
 
     def __post_init__(self):
         self.books: dict[str | None, Book] = {}
@@ -425,7 +427,7 @@ class Broker:
                 cash -= c.fee(closed, price)
             if opened:
                 cash -= c.cost(opened, price) + c.fee(opened, price)
-            if cash >= 0:
+            if self.overdraft or cash >= 0:
                 o.status = "Accepted"
                 self.pending.append(o)
                 self.told.append(o)
@@ -492,7 +494,7 @@ class Broker:
             self.cash -= c.fee(closed, price)
         if opened:
             left = self.cash - c.cost(opened, price) - c.fee(opened, price)
-            if left < 0 and o.kind != HISTORICAL:
+            if left < 0 and not self.overdraft and o.kind != HISTORICAL:
                 opened, size = 0.0, closed
                 o.status = "Margin"
             else:

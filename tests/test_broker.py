@@ -102,6 +102,12 @@ def test_cash_bounds_what_is_opened():
     assert made[0].status == "Margin" and b.cash == 50
 
 
+def test_an_overdraft_bounds_nothing():
+    b = B.Broker(cash=50.0, overdraft=True)
+    made = play(b, [(10, 10, 10, 10), (20, 20, 20, 20), (5, 5, 5, 5), (5, 5, 5, 5), (4, 4, 4, 4)], {0: lambda b: b.buy(6), 1: lambda b: b.close(), 2: lambda b: b.buy(1)})
+    assert [made[k].status for k in range(3)] == ["Completed"] * 3 and b.cash == 50 - 120 + 30 - 5 and b.value() == -41 and b.closed_trades[0].pnl == -90
+
+
 def test_slippage_fillers_and_sizers():
     b = B.Broker(slippage=B.Slippage(percent=0.1, at_open=True))
     assert play(b, [(10, 10, 10, 10), (10, 10.5, 9, 10)], {0: lambda b: b.buy(1)})[0].done_price == 10.5

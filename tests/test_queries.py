@@ -43,3 +43,20 @@ def test_entry(spark, small):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries()) and len(e.queries()) > 200
+
+
+def equals_its_sql_on(spark, folder, name, days, per_day, price, open_price=None):
+    """Daily bars of one symbol from `per_day` orders a day, all of them at `price` but the first; `n` is the day's number from 0."""
+    c = duckdb.connect()
+    c.sql(f"""COPY (SELECT n * {per_day} + k AS o_orderkey, (CASE WHEN k = 0 THEN {open_price or price} ELSE {price} END)::DOUBLE AS o_totalprice, TIMESTAMP '1995-01-01' + to_days(CAST(n AS INTEGER)) AS o_orderdate, '5-LOW' AS o_orderpriority
+FROM range({days}) a(n), range({per_day}) b(k)) TO '{folder}/orders.parquet'""")
+    c.sql(f"CREATE VIEW orders AS SELECT * FROM '{folder}/orders.parquet'")
+    got, want = QUERIES[name](spark, str(folder)), c.sql(ORACLES[name]).df()
+    columns = sorted(want.columns)
+    assert sorted(got.columns) == columns and len(want)
+    assert rows(got.select(columns).toPandas()) == rows(want[columns])
+
+
+@pytest.mark.parametrize("name", ["sim_trade_ids"])
+def test_trips_that_lose_more_than_the_account_has(spark, tmp_path, name):
+    equals_its_sql_on(spark, tmp_path, name, 120, 1, "CASE WHEN n % 10 < 5 THEN 900000 + n ELSE 100000 + n END")
